@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewire.llm import bpe, embedding, packing, simhash
+from tidewire.llm import bpe, embedding, packing, simhash, sketch
 
 QUERIES = {
     "op1_embedding_dedup": embedding.query,
     "op2_simhash_dedup": simhash.query,
     "op3_best_fit_packing": packing.query,
+    "op5_sketch": sketch.query,
     "op6_bpe": bpe.query,
 }
 
