@@ -51,8 +51,15 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return (raw[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(offsets) else (raw[:0], np.zeros(1, np.int64))
 
 
-def split_words(column: pa.Array, fold: bool = True) -> Words:
-    """Words are runs of bytes other than space and 0x09-0x0D; A-Z are lower-cased when ``fold``."""
+def letters_only() -> np.ndarray:
+    """Separators for ``split_words`` that leave ASCII letters, digits and all bytes of other scripts."""
+    table = np.zeros(256, dtype=bool)
+    table[:128] = [not chr(b).isalnum() for b in range(128)]
+    return table
+
+
+def split_words(column: pa.Array, separators: np.ndarray = _IS_SPACE) -> Words:
+    """Words are runs of bytes that are no separators (space and 0x09-0x0D, if not given); A-Z are lower-cased."""
     raw, offsets = as_bytes(column)
     n = len(offsets) - 1
     padded = np.full(len(raw) + n, 0x20, dtype=np.uint8)
@@ -60,17 +67,15 @@ def split_words(column: pa.Array, fold: bool = True) -> Words:
         keep = np.ones(len(padded), dtype=bool)
         keep[offsets[1:] + np.arange(n)] = False
         padded[keep] = raw
-    space = _IS_SPACE[padded]
+    space = separators[padded]
     after = np.empty(len(padded), dtype=bool)  # a separator right after a word byte
     if len(padded):
         after[0] = False
         np.logical_and(space[1:], ~space[:-1], out=after[1:])
     ends = np.flatnonzero(after)
     first = np.searchsorted(ends, np.concatenate([[0], offsets[1:] + np.arange(1, n + 1)])).astype(np.int64)
-    buffer = padded[~space | after]
-    buffer = _FOLD[buffer] if fold else buffer
-    if not fold:
-        buffer = np.where(_IS_SPACE[buffer], np.uint8(0x20), buffer)
+    padded[after] = 0x20
+    buffer = _FOLD[padded[~space | after]]
     end = np.flatnonzero(buffer == 0x20)
     start = np.concatenate([[0], end[:-1] + 1]).astype(np.int64) if len(end) else np.zeros(0, np.int64)
     return Words(buffer, start, end.astype(np.int64), first)
