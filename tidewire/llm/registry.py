@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import bpe, embedding, packing, simhash, sketch, toxicity
+from tidewire.llm import bpe, embedding, packing, simhash, sketch, substrings, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.query,
     "op5_sketch": sketch.query,
     "op6_bpe": bpe.query,
+    "op9_suffix_dedup": substrings.query,
     "op10_toxicity": toxicity.query,
 }
 
