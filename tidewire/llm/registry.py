@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import bpe, embedding, packing, simhash, sketch, substrings, toxicity
+from tidewire.llm import bpe, embedding, lines, packing, simhash, sketch, substrings, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding.query,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_best_fit_packing": packing.query,
     "op5_sketch": sketch.query,
     "op6_bpe": bpe.query,
+    "op7_line_dedup": lines.query,
     "op9_suffix_dedup": substrings.query,
     "op10_toxicity": toxicity.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": lines.SQL,
+}
