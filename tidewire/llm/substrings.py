@@ -398,6 +398,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, found in zip(text, spans, strict=True):
+            if t is None or found is None:
+                out.append(t)
+                continue
             raw, at, parts = t.encode(), 0, []
             for a, b in _merged(list(found)):
                 while a < b and raw[a] & 0xC0 == 0x80:

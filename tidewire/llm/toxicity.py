@@ -220,18 +220,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(keys, weights, scale, size, _logistic(_features(n, segments, scale, size), (toxic > 0).astype(float)))
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``score``; only whole texts are read, null as the empty text."""
-    names = [c for c in docs.columns if c != "score"]
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The rows of ``docs`` with ``score_col``; only whole texts are read, null as the empty text."""
+    names = [c for c in docs.columns if c != score_col]
 
     def run(reader):
         for batch in kernels.batches(reader, text_col, 4 << 20):
             n, segments = passages(batch.column(text_col), model.keys, model.weights)
             z = _features(n, segments, model.scale, model.size) @ np.array(model.fit)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*batch.schema.names, score_col])
 
     kept = docs.select(*names)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def predict(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -241,7 +241,7 @@ def predict(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Repeated rows get equal scores; a null id is never held out. An empty table gives no rows.
     """
     model = fit(docs, labels, id_col, text_col, max_labelled)
-    out = score_documents(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), model, "id", "text")
+    out = score_documents(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), model)
     held = F.coalesce(_fold("id") == 0, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
