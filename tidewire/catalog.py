@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidewire.queries import feeds, rounds, scalars
+
+_GROUPS = [feeds.catalog, rounds.catalog, scalars.catalog]
+QUERIES = {k: f for g in _GROUPS for k, f in g.queries.items()}
+ORACLE_SQL = {k: q for g in _GROUPS for k, q in g.sql.items()}
