@@ -16,6 +16,15 @@ from tidewire.llm.session import materialize, shuffle_width, table
 def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Best-two-fit over a histogram of lengths; counts[s] pieces have length s.
 
+    Of some bounds on the gap that a replacement may leave, the one with the fewest bins is taken.
+    """
+    plans = [_plan(counts, capacity, most_left) for most_left in (capacity, capacity // 64, 0)]
+    return min(plans, key=lambda x: x[0])[1]
+
+
+def _plan(counts: np.ndarray, capacity: int, most_left: int) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """(bins, slots) of one plan.
+
     A bin is filled greedily with the longest pieces that fit. Then its smallest piece is replaced by two unpacked
     pieces that fit the expanded gap more tightly, as long as that helps. The bin is repeated as often as the
     counts allow. Pieces of one length are alike, so the plan is as good as one made piece by piece, and its size
@@ -61,7 +70,7 @@ def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, in
                 break
             total = np.where(ok, one + two, 0)
             best = int(total.argmax())
-            if total[best] <= small:
+            if total[best] <= small or room - total[best] > most_left:
                 break
             taken[small] -= 1
             if not taken[small]:
@@ -78,7 +87,7 @@ def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, in
             left[s] -= times * m
         first_bin += times
         refresh()
-    return slots
+    return first_bin, slots
 
 
 def token_pieces(docs: DataFrame, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
