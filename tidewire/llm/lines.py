@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.session import table
+from tidewire.llm.session import materialize, table
 
 #: A chunk begins where the rolling hash over this line and the one before is divisible by this.
 DIVISOR = 4
@@ -31,7 +31,7 @@ def _chunk_text(chunk: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, divisor: int, min_lines: int) -> DataFrame:
-    """The rows of ``docs`` with ``chunks`` and ``gone``, the numbers of chunks that stand earlier too (null: none).
+    """The rows of ``docs`` with ``gone``, the numbers of chunks that stand earlier too (null: none).
 
     Chunks are counted by MD5, as hashes only. Chunks with a repeated digest are then compared byte by byte with
     the first one, in order of id and place, and only equal ones go.
@@ -39,20 +39,20 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, divisor: int, m
     rows = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     whole = rows.select("__key", order.alias("at"), F.col(text_col).alias("text"))
-    # of each chunk its number, its lines and its digest
+    # of each chunk its number and digest: small rows, made once
     parts = whole.select("__key", "at", F.explode(line_chunks(F.col("text"), divisor)).alias("c")).where(F.size("c.lines") >= min_lines)
-    marks = parts.select("__key", "at", F.col("c.k").alias("k"), F.unhex(F.md5(_chunk_text(F.col("c")))).alias("digest"))
+    marks = materialize(parts.select("__key", "at", F.col("c.k").alias("k"), F.unhex(F.md5(_chunk_text(F.col("c")))).alias("digest")), "marks")
     counts = marks.groupBy("digest").agg(F.count("*").alias("n"), F.min("at").alias("first_at")).where("n > 1").select("digest", "first_at")
-    suspects = marks.join(counts, "digest")
-    listed = suspects.groupBy("__key").agg(F.collect_set(F.struct("k", "digest", F.col("first_at"))).alias("suspects"))
-    # texts of the suspects, then of the first ones among them
-    with_text = rows.select("__key", F.col(text_col).alias("text"), order.alias("at")).join(listed, "__key")
-    pieces = with_text.select("__key", "at", F.explode("suspects").alias("s"), line_chunks(F.col("text"), divisor).alias("chunks"))
-    pieces = pieces.select("__key", "at", F.col("s.k").alias("k"), F.col("s.digest").alias("digest"), F.col("s.first_at").alias("first_at"), _chunk_text(F.element_at("chunks", F.col("s.k") + 1)).alias("bytes"))
+    listed = marks.join(counts, "digest").groupBy("__key").agg(F.collect_set(F.struct("k", "first_at")).alias("suspects"))
+    # texts of the suspects, cut out of each text once; then those of the first ones among them
+    with_text = whole.join(listed.hint("shuffle_hash"), "__key")
+    numbers = F.transform("suspects", lambda s: s["k"])
+    cut = with_text.select("__key", "at", F.map_from_entries("suspects").alias("firsts"), F.explode(F.filter(line_chunks(F.col("text"), divisor), lambda c: F.array_contains(numbers, c["k"]))).alias("c"))
+    pieces = cut.select("__key", "at", F.col("c.k").alias("k"), F.element_at("firsts", F.col("c.k")).alias("first_at"), _chunk_text(F.col("c")).alias("bytes")).withColumn("digest", F.unhex(F.md5("bytes")))
     heads = pieces.where("at = first_at").groupBy("digest").agg(F.min(F.struct("__key", "k", "bytes")).alias("head"))
     same = pieces.join(heads, "digest").where((F.col("bytes") == F.col("head.bytes")) & ~((F.col("at") == F.col("first_at")) & (F.col("__key") == F.col("head.__key")) & (F.col("k") == F.col("head.k"))))
-    gone = same.groupBy("__key").agg(F.collect_set("k").alias("gone"))
-    return rows.join(gone, "__key", "left").withColumn("chunks", line_chunks(F.col(text_col), divisor)).drop("__key")
+    gone = materialize(same.groupBy("__key").agg(F.collect_set("k").alias("gone")), "gone")
+    return rows.join(gone.hint("shuffle_hash"), "__key", "left").drop("__key")
 
 
 def _kept(chunks: Column, gone: Column) -> Column:
@@ -67,16 +67,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document. Null texts stay null, null ids come last; a text may become empty. Other columns stay.
     """
     out = repeated_chunks(docs, id_col, text_col, divisor, min_lines)
-    return out.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(_kept(F.col("chunks"), F.col("gone")))).select(*docs.columns)
+    return out.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(_kept(line_chunks(F.col(text_col), divisor), F.col("gone")))).select(*docs.columns)
 
 
 def report_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """Per row: id, n_lines, n_chunks, n_removed (lines) and kept_sha256 of the text that is left; null is empty."""
-    out = repeated_chunks(docs.select(id_col, text_col), id_col, text_col, divisor, min_lines)
+    out = repeated_chunks(docs.select(id_col, text_col), id_col, text_col, divisor, min_lines).withColumn("chunks", line_chunks(F.col(text_col), divisor))
     lines = lambda chunks: F.aggregate(chunks, F.lit(0), lambda n, c: n + F.size(c["lines"]))
-    dropped = F.filter("chunks", lambda c: F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c["k"]))
+    dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(lines(F.filter("chunks", lambda c: F.array_contains("gone", c["k"]))))
     kept = F.when(F.col("gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(_kept(F.col("chunks"), F.col("gone")))
-    return out.select(F.col(id_col).cast("long").alias(id_col), lines(F.col("chunks")).cast("long").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), lines(dropped).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    return out.select(F.col(id_col).cast("long").alias(id_col), lines(F.col("chunks")).cast("long").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), dropped.cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
