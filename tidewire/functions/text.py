@@ -161,3 +161,17 @@ def intro(text: Column) -> Column:
 def first_sentence(text: Column, most: int = 60) -> Column:
     """Up to the first full stop."""
     return F.substring(F.split(text, "[。！.!]")[0], 1, most)
+
+
+def subjects(title: Column, roster: dict[str, list[str]] | None = None) -> Column:
+    """Names of the roster whose patterns stand in the title; none recognised is an abstention."""
+    border = lambda p: p.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    known = (roster or values.SUBJECTS).items()
+    found = F.array(*[F.when(title.rlike("(?i)" + "|".join(map(border, patterns))), name) for name, patterns in known])
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def same_story(a: Column, b: Column) -> Column:
+    """A proposed pair stands unless both titles have subjects and share none, or their numbers conflict."""
+    x, y = subjects(a), subjects(b)
+    return ~((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)) & ~digits_conflict(a, b)

@@ -54,3 +54,21 @@ def relative_label(day: Column, today: str) -> Column:
     """今天, 昨天 or the day itself."""
     gap = F.date_diff(F.lit(today).cast("date"), F.expr("try_cast({} as date)".format("date_key")) if isinstance(day, str) else F.try_to_date(day))
     return F.when(gap == 0, "今天").when(gap == 1, "昨天").otherwise(F.col(day) if isinstance(day, str) else day)
+
+
+def loose_timestamp(text: Column) -> Column:
+    """RFC 2822 with or without a weekday, ISO, or a plain day; null if it is none of these."""
+    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
+    zoned = F.regexp_replace(bare, r"\s*(?:GMT|UTC|Z)$", " +0000")
+    return F.coalesce(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.trim(text)))
+
+
+def published_from_html(html: Column) -> Column:
+    """From meta elements, JSON-LD, ``<time datetime>``, a Chinese date or a bare day; from 2015 on."""
+    head = F.substring(html, 1, 240_000)
+    meta = F.regexp_extract(head, r"""(?i)<meta[^>]+(?:property|name|itemprop)=["'](?:article:published_time|pubdate|publishdate|date|datePublished)["'][^>]*content=["']([^"']+)""", 1)
+    linked = F.regexp_extract(head, r'"datePublished"\s*:\s*"([^"]+)"', 1)
+    time = F.regexp_extract(head, r"""(?i)<time[^>]*datetime=["']([^"']+)""", 1)
+    chinese = F.regexp_replace(F.regexp_extract(head, r"((?:201[5-9]|20[2-9]\d)\s*年\s*\d{1,2}\s*月\s*\d{1,2})\s*日", 1), r"\s*[年月]\s*", "-")
+    bare = F.regexp_extract(head, r"(?:^|\D)((?:201[5-9]|20[2-9]\d)-\d{2}-\d{2})(?:\D|$)", 1)
+    return F.coalesce(*[loose_timestamp(F.when(c != "", c)) for c in (meta, linked, time)], F.try_to_timestamp(F.when(chinese != "", chinese), F.lit("yyyy-M-d")), loose_timestamp(F.when(bare != "", bare)))

@@ -76,3 +76,43 @@ LOWEST_BAND = "边缘"
 TIERS = [(90, 94, 1), (80, 89, 3), (70, 79, None), (60, 69, None), (40, 59, None)]
 CATEGORIES = ["company", "technology", "opensource", "funding", "opinion", "policy", "infra", "noise"]
 SENTINEL = "unknown"
+
+# Subjects of titles and how they are written (case-insensitive patterns; \b is an ASCII word border).
+SUBJECTS = {
+    "OpenAI": ["openai", "chatgpt", r"gpt-?\d", "sora", r"o\d-mini"],
+    "Anthropic": ["anthropic", "claude"],
+    "Google": ["google", "deepmind", "gemini", "gemma", "imagen", "tpu"],
+    "Meta": [r"\bmeta\b", "facebook", "llama", "whatsapp"],
+    "Microsoft": ["microsoft", "azure", "copilot"],
+    "Amazon": ["amazon", r"\baws\b", "alexa"],
+    "Apple": [r"\bapple\b", "siri"],
+    "NVIDIA": ["nvidia", "jensen huang", "黄仁勋"],
+    "Mistral": ["mistral", "le chonk"],
+    "DeepSeek": ["deepseek", "深度求索"],
+    "xAI": [r"\bxai\b", "grok", "musk"],
+    "阿里": ["阿里", "alibaba", "通义", "qwen", "夸达"],
+    "腾讯": ["腾讯", "混元", "hunyuan"],
+    "字节": ["字节", "bytedance", "豆包", "doubao", "tiktok"],
+    "百度": ["百度", "文心", "ernie"],
+    "华为": ["华为", "huawei", "盘古", "pangu"],
+    "智谱": ["智谱", "zhipu", r"\bglm\b"],
+    "月之暗面": ["月之暗面", "moonshot", "kimi"],
+    "MiniMax": ["minimax", "海螺"],
+    "科大讯飞": ["讯飞", "spark", "iflytek"],
+    "商汤": ["商汤", "sensetime"],
+    "百川": ["百川", "baichuan"],
+    "阶跃星辰": ["阶跃", "stepfun"],
+    "HuggingFace": [r"hugging\s?face"],
+    "Midjourney": ["midjourney"],
+    "Sony": [r"\bsony\b"],
+    "Samsung": ["samsung", "三星"],
+    "Intel": [r"\bintel\b"],
+    "AMD": [r"\bamd\b"],
+    "台积电": ["台积电", "tsmc"],
+    "软银": ["软银", "softbank"],
+    "Ssi": [r"\bssi\b", "扎伯格", "zuckerberg", "biohub"],
+    "特斯拉": ["特斯拉", "tesla", "optimus"],
+    "Figure": [r"figure\s?ai"],
+    "Runway": ["runway"],
+    "ElevenLabs": ["elevenlabs", "eleven labs"],
+}
