@@ -215,3 +215,28 @@ def test_rounds_are_idempotent(spark, tmp_path):
     put(2, [row("https://a/1", "2024-01-19T23:00:00Z"), row("https://a/2", "2024-01-19T23:00:00Z")])
     assert go() == ["https://a/1", "https://a/2", "https://a/undated"]
     assert go() == ["https://a/1", "https://a/2", "https://a/undated"]
+
+
+def test_special_lists():
+    from datetime import datetime, timezone
+
+    source = {"name": "n", "url": "https://x/", "now": datetime(2024, 1, 20, 3, tzinfo=timezone.utc)}
+    rows = parse.PARSERS["jiangsu"]("<record><![CDATA[<li><a href='/a'>A long title</a>2024 - 01 - 15</li>]]></record>", source)
+    assert rows[0]["published_at"] == "2024-01-15T01:00:00.000Z"
+    rows = parse.PARSERS["msit"]("<rss><item><title>News</title><link>u</link><pubDate>2024.1.5</pubDate></item></rss>", source)
+    assert rows[0]["published_at"] == "2024-01-05T00:00:00.000Z"
+    rows = parse.PARSERS["sdaia"]('<r><site ID="7" Title="Some title" Date="1/15/2024 1:00"/></r>', source)
+    assert (rows[0]["source_url"], rows[0]["published_at"]) == ("https://x/?id=7", "2024-01-15T06:00:00.000Z")
+    card = '<div class="text_box"><h4><a href="https://x/2024/01/9.html">A headline here</a></h4><p>short</p><span class="time">昨天 08:30</span></div>'
+    rows = parse.PARSERS["qbitai"](card, source)
+    assert (rows[0]["published_at"], rows[0]["content_snippet"]) == ("2024-01-19T00:30:00.000Z", "A headline here")
+    edge = lambda kind, t: {"node": {"content": {"__typename": kind, "title": t, "path": "/" + t, "published_at": "2024/1/15 10:00:00"}}}
+    body = json.dumps({"data": {"timelines": {"edges": [edge("Article", "one"), edge("Ad", "ad"), edge("Article", "two")]}}})
+    assert [(r["title"], r["published_at"]) for r in parse.PARSERS["jiqizhixin"](body, source)] == [("one", "2024-01-15T02:00:00.000Z"), ("two", "2024-01-15T02:00:00.000Z")]
+
+
+def test_two_level_scan(spark):
+    listed = spark.createDataFrame([("s", i, f"u{i}") for i in range(20)], "source_name string, ord long, source_url string")
+    details = spark.createDataFrame([("u1", '<span class="post-time x">on 2024/1/5</span>'), ("u2", "<p>none</p>")], "url string, html string")
+    got = {r.source_url: r.published_at for r in parse.with_details(listed, details).collect()}
+    assert len(got) == 15 and got["u1"] == "2024-01-05T04:00:00.000Z" and got["u2"] is None

@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire import values
@@ -239,6 +239,84 @@ def health_error(matched: int | None, status: int | None, error: str | None, row
     return None
 
 
+def cdata_list(body: str, source: dict) -> list[dict]:
+    """List items inside the CDATA sections of XML records; white space within dates is squashed first."""
+    found = "".join(re.findall(r"(?s)<!\[CDATA\[(.*?)\]\]>", body))
+    return html_list("li")(re.sub(r"(\d)\s*-\s*(\d)", r"\1-\2", found), source)
+
+
+def dotted_feed(body: str, source: dict) -> list[dict]:
+    """A feed whose dates are YYYY.MM.DD at 09:00 in UTC+9, else loose."""
+    rows = []
+    for i in parse_feed(body):
+        at = local_day(i["date"], r"(\d{4})\.(\d{1,2})\.(\d{1,2})", 9, 9) or iso(loose_date(i["date"]))
+        if len(i["title"]) >= 3:
+            rows.append(_row(i["title"], i["url"], at, i["snippet"][:2000] or i["title"], source))
+    return rows
+
+
+def attribute_list(body: str, source: dict) -> list[dict]:
+    """``<site>`` elements with Title, ID and Date (M/D/YYYY, 09:00 in UTC+3) as attributes."""
+    rows = []
+    for raw in re.findall(r"<site\b([^>]*)>", body):
+        got = {k.lower(): entities.unescape(v) for k, v in re.findall(r'(\w+)="([^"]*)"', raw)}
+        day = re.match(r"(\d{1,2})/(\d{1,2})/(\d{4})", got.get("date", ""))
+        at = iso(datetime(int(day[3]), int(day[1]), int(day[2]), 9, tzinfo=timezone(timedelta(hours=3)))) if day else ""
+        if got.get("id") and len(got.get("title", "")) >= 5:
+            rows.append(_row(got["title"], urljoin(source["url"], f"?id={got['id']}"), at, got["title"], source))
+    return rows
+
+
+def relative_instant(text: str, now: datetime) -> str:
+    """N分钟前, N小时前, N天前, 今天, 昨天, 前天 with or without a clock time, else a loose date."""
+    amount = re.search(r"(\d+)\s*(分钟|小时|天)前", text)
+    if amount:
+        return iso(now - timedelta(**{{"分钟": "minutes", "小时": "hours", "天": "days"}[amount[2]]: int(amount[1])}))
+    back = next((i for i, w in enumerate(("今天", "昨天", "前天")) if w in text), None)
+    if back is None:
+        return iso(loose_date(text))
+    clock = re.search(r"(\d{1,2}):(\d{2})", text)
+    wall = (now + timedelta(hours=8)).replace(hour=int(clock[1]) if clock else 12, minute=int(clock[2]) if clock else 0, second=0, microsecond=0)
+    return iso(wall - timedelta(days=back, hours=8))
+
+
+def relative_list(body: str, source: dict) -> list[dict]:
+    """Cards with relative times; short summaries give way to the title."""
+    rows, seen = [], set()
+    for card in parse_html(body).find("*", class_="text_box"):
+        a = next((x for x in card.find("a") if re.search(r"/\d{4}/\d{2}/.*\.html", x.attrs.get("href", ""))), None)
+        if a is None or len(a.text()) < 5 or a.attrs["href"] in seen:
+            continue
+        seen.add(a.attrs["href"])
+        when = next((t.text() for t in card.find("span", class_="time")), "")
+        summary = next((p.text() for p in card.find("p")), "")
+        rows.append(_row(a.text(), urljoin(source["url"], a.attrs["href"]), relative_instant(when, source["now"]), summary[:2000] if len(summary) >= 20 else a.text(), source))
+    return rows
+
+
+def timeline_list(body: str, source: dict) -> list[dict]:
+    """Articles of a timeline: runs of consecutive article edges, at most 20 rows."""
+    try:
+        edges = json.loads(body)["data"]["timelines"]["edges"]
+    except (ValueError, KeyError, TypeError):
+        return []
+    nodes = [{"kind": e["node"]["content"].get("__typename"), **e["node"]["content"]} for e in edges if e.get("node", {}).get("content")]
+    rows = []
+    for n in (x for run in segments(nodes) for x in run):
+        day = re.match(r"(\d{4})/(\d{1,2})/(\d{1,2}) (\d{1,2}):(\d{2})", n.get("published_at") or "")
+        at = iso(datetime(*map(int, day.groups()), tzinfo=timezone(timedelta(hours=8)))) if day else iso(loose_date(n.get("published_at")))
+        rows.append(_row(n.get("title", ""), urljoin(source["url"], n.get("path", "")), at, n.get("description") or n.get("simple_content") or n.get("title", ""), source))
+    return rows[:20]
+
+
+def with_details(listed: DataFrame, details: DataFrame, most: int = 15) -> DataFrame:
+    """Listed rows (source_name, ord, source_url, ...) with the day of their detail page (url, html), some a source."""
+    near = listed.withColumn("rn", F.row_number().over(Window.partitionBy("source_name").orderBy("ord"))).where(F.col("rn") <= most).drop("rn")
+    day = F.regexp_extract("html", r"""(?s)class=["'][^"']*time[^"']*["'][^>]*>[^<]*?(\d{4}[-/]\d{1,2}[-/]\d{1,2})""", 1)
+    dates = details.select(F.col("url").alias("source_url"), F.date_format(F.try_to_timestamp(F.regexp_replace(day, "/", "-"), F.lit("yyyy-M-d")), "yyyy-MM-dd'T04:00:00.000Z'").alias("published_at"))
+    return near.drop("published_at").join(dates, "source_url", "left")
+
+
 #: Parsers of list pages by registry key.
 PARSERS: dict[str, Callable[[str, dict], list[dict]]] = {
     "feed": feed_rows,
@@ -247,6 +325,12 @@ PARSERS: dict[str, Callable[[str, dict], list[dict]]] = {
     "beijing": html_list("li", href=r"t\d{8}_"),
     "cac": html_list("li", href=r"/\d{4}-\d{2}/\d{2}/c_\d+\.htm"),
     "gov": json_list("searchVO.listVO", "title", "url", "pubtimeStr"),
+    "jiangsu": cdata_list,
+    "jiqizhixin": timeline_list,
+    "msit": dotted_feed,
+    "qbitai": relative_list,
+    "sdaia": attribute_list,
+    "zhidx": html_list("a", href=r"/p/\d+\.html", least=8),
     "guangdong": html_list("li", href=r"content/post_"),
     "meti": html_list("li", date=r"(\d{4})年(\d{1,2})月(\d{1,2})日", offset=9),
     "miit": json_list("data.searchResult.dataResults", "title", "url", "deploytime", window_days=45),
