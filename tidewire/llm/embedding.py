@@ -16,7 +16,7 @@ from tidewire.llm.session import materialize, shuffle_width, table
 #: Vectors that a bucket should hold on average; fewer bits for smaller tables.
 BUCKET = 48
 #: Chance at most that a pair at the threshold itself shares no bucket; closer pairs are missed far less.
-MISS = 1e-5
+MISS = 1e-4
 #: A bucket with more vectors is cut into chunks of this size, and chunk pairs are compared by different tasks.
 CHUNK = 1024
 
@@ -34,11 +34,31 @@ def _planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
 
 def _signatures(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     positive = vectors @ _planes(vectors.shape[1], bits, tables, seed) >= 0
-    return (positive.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
+    return (positive.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))).astype(_sig_type(bits))
+
+
+def _sig_type(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.int32
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """The components, as 4-byte floats where that loses nothing."""
+    with np.errstate(over="ignore"):
+        small = v.astype(np.float32)
+    return b"f" + small.tobytes() if (small.astype(np.float64) == v).all() else b"d" + v.tobytes()
+
+
+def _length(packed: bytes) -> int:
+    return (len(packed) - 1) // (4 if packed[:1] == b"f" else 8)
+
+
+def _matrix(packed: list[bytes]) -> np.ndarray:
+    """Vectors of one length, in double precision."""
+    return np.stack([np.frombuffer(p, np.float32 if p[:1] == b"f" else np.float64, offset=1).astype(np.float64) for p in packed])
 
 
 def _usable(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(id, dim, vec): vec holds the doubles as bytes; null where a vector links with nothing."""
+    """(id, vec): vec holds the components as bytes; null where a vector links with nothing."""
     column = batch.column("embedding").cast(pa.large_list(pa.float64()))
     values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
     offsets = column.offsets.to_numpy()
@@ -46,7 +66,7 @@ def _usable(batch: pa.RecordBatch) -> pa.RecordBatch:
     vecs: list[bytes | None] = []
     for i, ok in enumerate(present.tolist()):
         v = values[offsets[i] : offsets[i + 1]] if ok else None
-        vecs.append(v.tobytes() if ok and len(v) and np.isfinite(v).all() and v.any() else None)
+        vecs.append(_packed(v) if ok and len(v) and np.isfinite(v).all() and v.any() else None)
     return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(vecs, pa.binary())], ["id", "vec"])
 
 
@@ -77,20 +97,20 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         for batch in reader:
             if not batch.num_rows:
                 continue
-            sizes = np.array([len(v) for v in batch.column("vec").to_pylist()])
+            sizes = np.array([_length(v) for v in batch.column("vec").to_pylist()])
             for size in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                v = np.frombuffer(b"".join(part.column("vec").to_pylist())).reshape(len(part), -1)
-                sig = _signatures(_scaled(v), bits, tables, seed)
+                sig = _signatures(_scaled(_matrix(part.column("vec").to_pylist())), bits, tables, seed)
                 at = np.repeat(np.arange(len(part)), tables)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(sig.reshape(-1)), pa.array(np.full(len(at), size, np.int32)), *(part.column(c).take(pa.array(at)) for c in ("class", "weight", "vec")), pa.array([s.tobytes() for s in sig], pa.binary()).take(pa.array(at))],
+                    [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(sig.reshape(-1).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), *(part.column(c).take(pa.array(at)) for c in ("class", "weight", "vec")), pa.array([s.tobytes() for s in sig], pa.binary()).take(pa.array(at))],
                     ["tab", "bucket", "size", "class", "weight", "vec", "sigs"],
                 )
 
     key = ["tab", "bucket", "size"]
     placed = classes.mapInArrow(place, "tab int, bucket int, size int, class long, weight long, vec binary, sigs binary")
     sizes = placed.groupBy(*key).count().where(F.col("count") > CHUNK).select(*key, F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    sizes = materialize(sizes, "buckets")  # mostly empty; its written size tells the planner whether to broadcast it
     chunked = placed.join(sizes, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("class"), "chunks").cast("int"))
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("chunks", "other")
     group = [*key, "a", "b"]
@@ -101,8 +121,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
             if len(t) < 2:
                 continue
             tab, a, b = (t.column(c)[0].as_py() for c in ("tab", "a", "b"))
-            v = _scaled(np.frombuffer(b"".join(t.column("vec").to_pylist())).reshape(len(t), -1))
-            sig = np.frombuffer(b"".join(t.column("sigs").to_pylist()), np.int32).reshape(len(t), -1)[:, :tab]
+            v = _scaled(_matrix(t.column("vec").to_pylist()))
+            sig = np.frombuffer(b"".join(t.column("sigs").to_pylist()), _sig_type(bits)).reshape(len(t), -1)[:, :tab]
             ids, weight, own = (t.column(c).to_numpy() for c in ("class", "weight", "own"))
             left = np.arange(len(t)) if a == b else np.flatnonzero(own == a)
             right = left if a == b else np.flatnonzero(own == b)
@@ -141,3 +161,16 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: links and components of all embeddings."""
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)
+    AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(u, w) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY 1), c AS (SELECT u, min(w) AS c FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, vec_id) AS component_id, coalesce(c.c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": embedding.SQL,
     "op4_chat_format": chat.SQL,
     "op7_line_dedup": lines.SQL,
     "op8_warc_audit": warc.SQL,
