@@ -388,3 +388,12 @@ def test_edge_tables(spark, operator):
     out = operator(odd)
     assert out.count() >= odd.count() and "doc_id" in out.columns
     assert operator(odd.limit(0)).count() == 0
+
+
+def test_extra_columns_with_clashing_names_stay(spark):
+    wide = frame(spark, ["a b", "é" * 210, "é" * 210, None]).selectExpr("*", "1 AS key", "2 AS spans", "3 AS gone", "4 AS chunks", "5 AS score", "6 AS id")
+    for out in (substrings.remove_repeats(wide), lines.dedup_lines(wide)):
+        assert out.columns == wide.columns
+        assert {tuple(r[5:]) for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, (-3.0, 0.5, 0.5))
+    assert toxicity.score_documents(wide, model, score_col="__toxicity").columns == [*wide.columns, "__toxicity"]

@@ -6,6 +6,8 @@ words, shingles and hashes are computed for all of them with numpy, without a Py
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -166,7 +168,10 @@ def _xxh64_block(lanes, halves, raw, start, length, seed):
 
 
 def batches(reader, column: str, max_bytes: int = 16 << 20):
-    """Cut Arrow batches into slices of bounded text size; one longer text is a slice of its own."""
+    """Cut Arrow batches into slices of bounded text size; one longer text is a slice of its own.
+
+    At the end of a partition free memory goes back to the system: workers live on, next to those of other stages.
+    """
     for batch in reader:
         if not batch.num_rows:
             continue
@@ -175,3 +180,6 @@ def batches(reader, column: str, max_bytes: int = 16 << 20):
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -31,7 +31,7 @@ def _chunk_text(chunk: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, divisor: int, min_lines: int) -> DataFrame:
-    """The rows of ``docs`` with ``gone``, the numbers of chunks that stand earlier too (null: none).
+    """The rows of ``docs`` with ``__gone``, the numbers of chunks that stand earlier too (null: none).
 
     Chunks are counted by MD5, as hashes only. Chunks with a repeated digest are then compared byte by byte with
     the first one, in order of id and place, and only equal ones go.
@@ -51,7 +51,7 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, divisor: int, m
     pieces = cut.select("__key", "at", F.col("c.k").alias("k"), F.element_at("firsts", F.col("c.k")).alias("first_at"), _chunk_text(F.col("c")).alias("bytes")).withColumn("digest", F.unhex(F.md5("bytes")))
     heads = pieces.where("at = first_at").groupBy("digest").agg(F.min(F.struct("__key", "k", "bytes")).alias("head"))
     same = pieces.join(heads, "digest").where((F.col("bytes") == F.col("head.bytes")) & ~((F.col("at") == F.col("first_at")) & (F.col("__key") == F.col("head.__key")) & (F.col("k") == F.col("head.k"))))
-    gone = materialize(same.groupBy("__key").agg(F.collect_set("k").alias("gone")), "gone")
+    gone = materialize(same.groupBy("__key").agg(F.collect_set("k").alias("__gone")), "gone")
     return rows.join(gone.hint("shuffle_hash"), "__key", "left").drop("__key")
 
 
@@ -67,16 +67,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document. Null texts stay null, null ids come last; a text may become empty. Other columns stay.
     """
     out = repeated_chunks(docs, id_col, text_col, divisor, min_lines)
-    return out.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(_kept(line_chunks(F.col(text_col), divisor), F.col("gone")))).select(*docs.columns)
+    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_kept(line_chunks(F.col(text_col), divisor), F.col("__gone")))).select(*docs.columns)
 
 
 def report_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """Per row: id, n_lines, n_chunks, n_removed (lines) and kept_sha256 of the text that is left; null is empty."""
-    out = repeated_chunks(docs.select(id_col, text_col), id_col, text_col, divisor, min_lines).withColumn("chunks", line_chunks(F.col(text_col), divisor))
+    out = repeated_chunks(docs.select(id_col, text_col), id_col, text_col, divisor, min_lines).withColumn("__chunks", line_chunks(F.col(text_col), divisor))
     lines = lambda chunks: F.aggregate(chunks, F.lit(0), lambda n, c: n + F.size(c["lines"]))
-    dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(lines(F.filter("chunks", lambda c: F.array_contains("gone", c["k"]))))
-    kept = F.when(F.col("gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(_kept(F.col("chunks"), F.col("gone")))
-    return out.select(F.col(id_col).cast("long").alias(id_col), lines(F.col("chunks")).cast("long").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), dropped.cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    dropped = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(lines(F.filter("__chunks", lambda c: F.array_contains("__gone", c["k"]))))
+    kept = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(_kept(F.col("__chunks"), F.col("__gone")))
+    return out.select(F.col(id_col).cast("long").alias(id_col), lines(F.col("__chunks")).cast("long").alias("n_lines"), F.size("__chunks").cast("long").alias("n_chunks"), dropped.cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

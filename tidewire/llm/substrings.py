@@ -172,7 +172,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", k
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
 
     def find(reader):
-        for batch in kernels.batches(reader, "text", 4 << 20):
+        for batch in kernels.batches(reader, "text", 2 << 20):
             raw, offsets = kernels.as_bytes(batch.column("text"))
             at, doc, h, start, _, g = anchors(raw, offsets, length)
             order = np.lexsort((g, h))
@@ -212,7 +212,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", k
     places = candidates.groupBy("key").agg(F.collect_set(F.struct("pos", "full", "ship")).alias("places"))
 
     def cut(reader):
-        for batch in kernels.batches(reader, "text", 8 << 20):
+        for batch in kernels.batches(reader, "text", 4 << 20):
             raw, offsets = kernels.as_bytes(batch.column("text"))
             keys = batch.column("key").to_numpy()
             lists = batch.column("places")
@@ -357,7 +357,7 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
     keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
     spans = repeated_spans(keyed.select(F.col("__key").alias("key"), F.col(text_col).alias("text")), length)
-    return keyed.join(spans.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    return keyed.join(spans.withColumnsRenamed({"key": "__key", "spans": "__spans"}), "__key", "left").drop("__key")
 
 
 def digest_kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,9 +370,9 @@ def digest_kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
     rows = _with_spans(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), length, "id", "text")
 
     def run(reader):
-        for batch in kernels.batches(reader, "text", 8 << 20):
+        for batch in kernels.batches(reader, "text", 4 << 20):
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 gone = _merged(spans or [])
                 digest, at = hashlib.sha256(), 0
@@ -383,7 +383,7 @@ def digest_kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
                 out.append((len(raw), sum(b - a for a, b in gone), len(gone), digest.hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c)) for c in zip(*out, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = rows.select("id", "text", "spans").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = rows.select("id", "text", "__spans").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -413,7 +413,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         return pd.Series(out)
 
     text = F.col(text_col)
-    return rows.withColumn(text_col, F.when(F.col("spans").isNull(), text).otherwise(kept(text, F.col("spans")))).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(kept(text, F.col("__spans")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

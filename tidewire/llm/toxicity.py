@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = materialize(rows.join(F.broadcast(chosen), "id").select("fold", "toxic", "text"), "labelled")  # max_labelled rows bound it
 
     def count(reader):
-        for batch in kernels.batches(reader, "text", 4 << 20):
+        for batch in kernels.batches(reader, "text", 1 << 20):
             forms, first = token_forms(batch.column("text"))
             tox = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
             doc = np.repeat(np.arange(len(tox)), np.diff(first))
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scale = max(low, 1e-3)
 
     def score(reader):
-        for batch in kernels.batches(reader, "text", 4 << 20):
+        for batch in kernels.batches(reader, "text", 1 << 20):
             n, segments = passages(batch.column("text"), keys, weights)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n), pa.array(segments, pa.list_(pa.float64()))], ["toxic", "n", "segments"])
 
@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score
     names = [c for c in docs.columns if c != score_col]
 
     def run(reader):
-        for batch in kernels.batches(reader, text_col, 4 << 20):
+        for batch in kernels.batches(reader, text_col, 1 << 20):
             n, segments = passages(batch.column(text_col), model.keys, model.weights)
             z = _features(n, segments, model.scale, model.size) @ np.array(model.fit)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*batch.schema.names, score_col])
