@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,12 @@ from tidewire.llm import kernels
 from tidewire.llm.session import table
 
 #: A worker keeps up to twice so many distinct chunks encoded; those not met for long are encoded anew.
-KEPT_CHUNKS = 350_000
+KEPT_CHUNKS = 250_000
 _NEVER = 1 << 60
+#: Words longer than this get all their states from left to right, others only those that are asked for.
+_DEEP = 200
+#: Printable ASCII and the letters of Latin-1: composed already, lower-cased code point by code point.
+_PLAIN = regex.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
 #: str.split() also splits at these, the tokenizer doesn't.
 _CONTROLS = "\x1c\x1d\x1e\x1f"
 _SPLIT = regex.compile(r"[^\S\x1c-\x1f]+")
@@ -56,20 +61,28 @@ class TrieBpe:
         self._inner = {s: i for s, i in vocab.items() if not s.endswith(suffix)}
         self._final = {s.removesuffix(suffix): i for s, i in vocab.items() if s.endswith(suffix)}
         self._length = [len(s.removesuffix(suffix)) for s in self.tokens]
-        self._longest = max(map(len, [*self._inner, *self._final]))
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._border: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         tokenizer = Tokenizer.from_file(path)
+        for known in (self._inner, self._final):
+            for s in [s for s, i in known.items() if not self._encodes_itself(i)]:
+                del known[s]  # no encoding holds it
+        self._reach = [self._longest_by_end(self._inner), self._longest_by_end(self._final)]
         self._normalize, self._pretokenize = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._pieces = regex.compile(split["pattern"]["Regex"]).findall
+        # byte-level alphabet: printable bytes stand for themselves, the others are numbered from 256
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self._symbols = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
         self._cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         # encoded chunks as packed ids: those of late, and those from before that
         self._width = "<u2" if len(self.tokens) <= 1 << 16 else "<u4"
         self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._packer = struct.Struct("<H" if len(self.tokens) <= 1 << 16 else "<I").pack
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of a token's merge tree from the leaf up, each with the rank that consumes it."""
@@ -117,17 +130,33 @@ class TrieBpe:
         return known
 
     def _keeps_border(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        known = self._border.get(key)
-        if known is None:
-            known = self._border[key] = self._meets(a, b, False)
-        return known
+        kept = self._border[a << 20 | b] = self._meets(a, b, False)
+        return kept
+
+    @staticmethod
+    def _longest_by_end(known: dict[str, int]) -> dict[str, int]:
+        """The length of the longest token that ends with these three symbols; shorter tokens are not listed."""
+        out: dict[str, int] = {}
+        for s in known:
+            if len(s) >= 3:
+                out[s[-3:]] = max(out.get(s[-3:], 0), len(s))
+        return out
 
-    def _last(self, word: str, end: int, known: dict[str, int], state: list[int]) -> int:
-        """Last token of the encoding of word[:end]; state holds those of the shorter prefixes."""
-        for start in range(max(0, end - self._longest), end):
+    def _last(self, word: str, end: int, last: bool, state: list[int]) -> int:
+        """Last token of the encoding of word[:end]; state holds those of shorter prefixes, -1 where none was asked for."""
+        border, known = self._border, self._final if last else self._inner
+        start = end - self._reach[last].get(word[end - 3 : end], 2) if end > 2 else 0
+        for start in range(start if start > 0 else 0, end):
             token = known.get(word[start:end])
-            if token is not None and self._encodes_itself(token) and (not start or self._keeps_border(state[start - 1], token)):
+            if token is None:
+                continue
+            if not start:
+                return token
+            before = state[start - 1]
+            if before < 0:
+                before = state[start - 1] = self._last(word, start, False, state)
+            kept = border.get(before << 20 | token)
+            if kept or (kept is None and self._keeps_border(before, token)):
                 return token
         raise AssertionError("a byte has no token")
 
@@ -142,13 +171,18 @@ class TrieBpe:
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del state[shared:]
-            for end in range(shared + 1, n):
-                state.append(self._last(word, end, self._inner, state))
-            token = self._last(word, n, self._final, state)
+            state += [-1] * (n - 1 - shared)
+            if n > _DEEP:
+                for end in range(shared + 1, n):
+                    if state[end - 1] < 0:
+                        state[end - 1] = self._last(word, end, False, state)
+            token = self._last(word, n, True, state)
             ids = [token]
             at = n - self._length[token]
             while at:
                 token = state[at - 1]
+                if token < 0:
+                    token = state[at - 1] = self._last(word, at, False, state)
                 ids.append(token)
                 at -= self._length[token]
             out[word] = ids[::-1]
@@ -163,15 +197,23 @@ class TrieBpe:
                 parts.append(self.special[piece])
             elif piece:
                 # the library's own tables of letters decide for other scripts
-                parts += self._pieces(piece.lower()) if piece.isascii() and piece.isprintable() else [p for p, _ in self._pretokenize(self._normalize(piece))]
+                if piece.isascii() and piece.isprintable():
+                    parts += self._pieces(piece.lower())
+                elif _PLAIN(piece):
+                    parts += [p.encode().decode("latin-1").translate(self._symbols) for p in self._pieces(piece.lower())]
+                else:
+                    parts += [p for p, _ in self._pretokenize(self._normalize(piece))]
         return parts
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], kept: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all texts. Text is cut at white space, which no word of this kind crosses."""
+        kept = kept or KEPT_CHUNKS
         chunks: list[list[str]] = [[c for c in _SPLIT.split(t) if c] if any(c in t for c in _CONTROLS) else t.split() for t in texts]
-        if len(self._recent) > KEPT_CHUNKS:
+        if len(self._recent) > kept:
             self._older, self._recent = self._recent, {}
-        if len(self._border) > 4 * KEPT_CHUNKS:
+        if len(self._words) > kept:
+            self._words = {}
+        if len(self._border) > 4 * kept:
             self._border.clear()
         known, older = self._recent, self._older
         new: dict[str, list[str | int]] = {}
@@ -181,13 +223,17 @@ class TrieBpe:
                     known[c] = ids
                 else:
                     new[c] = self._parts(c)
-        words = self.encode_words({p for ps in new.values() for p in ps if isinstance(p, str)})
+        words = self._words
+        words |= {w: self._pack(ids) for w, ids in self.encode_words({p for ps in new.values() for p in ps if isinstance(p, str) and p not in words}).items()}
         for chunk, parts in new.items():
-            known[chunk] = np.array([i for p in parts for i in (words[p] if isinstance(p, str) else (p,))], self._width).tobytes()
+            known[chunk] = b"".join([words[p] if isinstance(p, str) else self._pack([p]) for p in parts])
         packed = [b"".join(map(known.__getitem__, cs)) for cs in chunks]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in packed])]).astype(np.int64) // np.dtype(self._width).itemsize
         return np.frombuffer(b"".join(packed), self._width).astype(np.uint32), offsets
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return b"".join(map(self._packer, ids))
+
     def decode(self, ids: np.ndarray) -> str:
         """The file names no decoder; then token texts are joined by spaces."""
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -203,11 +249,11 @@ def encoder(path: str) -> TrieBpe:
     return _OPEN[path]
 
 
-def encode_batches(reader, column: str, vocabulary: str | None):
-    """(batch, encoder, ids, offsets) for slices of bounded text size."""
+def encode_batches(reader, column: str, vocabulary: str | None, kept: int | None = None):
+    """(batch, encoder, ids, offsets) for slices of bounded text size; ``kept`` bounds a worker's encoded chunks."""
     bpe = encoder(vocabulary or public_vocabulary())
-    for batch in kernels.batches(reader, column, 4 << 20):
-        yield batch, bpe, *bpe.encode([t or "" for t in batch.column(column).to_pylist()])
+    for batch in kernels.batches(reader, column, 2 << 20):
+        yield batch, bpe, *bpe.encode([t or "" for t in batch.column(column).to_pylist()], kept)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
