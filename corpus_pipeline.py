@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import lines, packing, simhash, substrings, toxicity
+from tidewire.llm import lines, packing, similar, simhash, substrings, toxicity
 from tidewire.llm.session import materialize, table
 
 
@@ -27,8 +27,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; rows without id stay."""
-    groups = simhash.simhash_dedup(docs)
+    """Of each group within 3 bits of 64 (the rule of op2) the document with the smallest id stays; no stage of the run."""
+    return _smallest_of(docs, simhash.simhash_dedup(docs))
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays; rows without id stay.
+
+    Near are texts at a Jaccard similarity of 0.8 or more of their five-word shingles.
+    """
+    return _smallest_of(docs, similar.similar_groups(docs))
+
+
+def _smallest_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -46,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
-    ("simhash_dedup", drop_near_duplicates),
+    ("simhash_dedup", drop_similar),
     ("suffix_array_dedup", cut_repeated_strings),
     ("best_fit_packing", pack),
 ]

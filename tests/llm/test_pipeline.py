@@ -39,3 +39,24 @@ def test_whole_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_dedup", "suffix_array_dedup", "best_fit_packing"]
+
+
+def test_edited_copies_go_at_any_fingerprint_distance(spark):
+    import random
+
+    r = random.Random(31)
+    texts = [None, "", "two words"]
+    for _ in range(40):
+        t = base.prose(r, r.randrange(60, 160), 9000).split(" ")
+        texts.append(" ".join(t))
+        for _ in range(r.randrange(3)):
+            u = list(t)
+            for _ in range(r.randrange(1, 5)):
+                u[r.randrange(len(u))] = "zz"
+            texts.append(" ".join(u))
+    sets = [set(base.shingle_hashes(t, 5)) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    comp = base.union_find(len(texts), near)
+    docs = base.frame(spark, texts)
+    kept = {x.doc_id for x in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()}
+    assert kept == {i for i in range(len(texts)) if comp[i] == i}
