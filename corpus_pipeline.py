@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that stand in an earlier document, or earlier in the same one, are cut out."""
+    """Blocks of two or more lines that stand in an earlier document, or earlier in the same one, are cut out."""
     return _counted(lines.dedup_lines(docs))
 
 

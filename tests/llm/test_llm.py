@@ -298,6 +298,12 @@ def test_lines(spark):
     assert all(report[i].kept_sha256 == hashlib.sha256((out[i] or "").encode()).hexdigest() for i in range(len(texts)))
 
 
+def test_runs_of_one_line_go(spark):
+    texts = ["\n".join(["own", *["By To."] * 91, "end"]), "\n".join(["other", *["By To."] * 5])]
+    out = {x.doc_id: x.text for x in lines.dedup_lines(frame(spark, texts)).collect()}
+    assert out == {0: "own\nBy To.\nBy To.\nend", 1: "other"}
+
+
 def test_chat_round_trip(spark):
     tricky = "<|im_end|>\n<|im_start|>assistant x <\\|im_end|> <\\\\| <|"
     convs = {

@@ -60,18 +60,63 @@ def _kept(chunks: Column, gone: Column) -> Column:
     return F.array_join(F.flatten(F.transform(left, lambda c: c["lines"])), "\n")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """The rows of ``docs`` without chunks of lines that stand in an earlier place.
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with ``__gone``, the numbers of lines in a later copy of a block (null: none).
+
+    A block is two adjacent lines, so each longer block is found whole, wherever it begins and ends. Blocks are
+    counted by MD5; those with a repeated digest are then compared byte by byte with the first one, in order of id and
+    place. Of a copy that overlaps the first one, only the line beyond it goes.
+    """
+    rows = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    whole = rows.select("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("at"), F.col(text_col).alias("text"))
+    digests = F.transform(F.array(_lines(F.col("text"))), lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), lambda a, b: F.unhex(F.md5(F.concat(a, F.lit("\n"), b)))))[0]
+    marks = materialize(whole.select("__key", "at", F.posexplode(digests).alias("k", "digest")), "marks")
+    firsts = marks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("at", "__key", "k")).alias("first")).where("n > 1")
+    firsts = firsts.select("digest", F.col("first.__key").alias("first_key"), F.col("first.k").alias("first_k"))
+    listed = marks.join(firsts, "digest").groupBy("__key").agg(F.collect_set(F.struct("k", "digest", "first_key", "first_k")).alias("suspects"))
+    with_text = whole.select("__key", "text").join(listed.hint("shuffle_hash"), "__key")
+    cut = F.transform(F.array(_lines(F.col("text"))), lambda x: F.transform("suspects", lambda s: F.struct(s["k"].alias("k"), s["digest"].alias("digest"), s["first_key"].alias("first_key"), s["first_k"].alias("first_k"), F.concat(x[s["k"]], F.lit("\n"), x[s["k"] + 1]).alias("bytes"))))[0]
+    pieces = with_text.select("__key", F.explode(cut).alias("c")).select("__key", "c.*")
+    is_first = (F.col("__key") == F.col("first_key")) & (F.col("k") == F.col("first_k"))
+    heads = pieces.where(is_first).groupBy("digest").agg(F.min("bytes").alias("head"))
+    same = pieces.where(~is_first).join(heads, "digest").where("bytes = head")
+    overlaps = (F.col("__key") == F.col("first_key")) & (F.col("k") == F.col("first_k") + 1)
+    numbers = F.explode(F.when(overlaps, F.array(F.col("k") + 1)).otherwise(F.array(F.col("k"), F.col("k") + 1)))
+    gone = materialize(same.select("__key", numbers.alias("i")).groupBy("__key").agg(F.collect_set("i").alias("__gone")), "gone")
+    return rows.join(gone.hint("shuffle_hash"), "__key", "left").drop("__key")
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _left(text: Column) -> Column:
+    """The text without the lines of ``__gone``."""
+    return F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without blocks of two or more lines that stand in an earlier place.
 
     Earlier is by id, then by place in the text; the first one stays. Rows with the same id and text are one
     document. Null texts stay null, null ids come last; a text may become empty. Other columns stay.
     """
-    out = repeated_chunks(docs, id_col, text_col, divisor, min_lines)
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_kept(line_chunks(F.col(text_col), divisor), F.col("__gone")))).select(*docs.columns)
+    out = repeated_lines(docs, id_col, text_col)
+    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_left(F.col(text_col)))).select(*docs.columns)
+
 
+def report_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_lines, n_removed and kept_sha256 of the text that ``dedup_lines`` leaves; null is empty."""
+    out = repeated_lines(docs.select(id_col, text_col), id_col, text_col)
+    kept = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(_left(F.col(text_col)))
+    return out.select(F.col(id_col).cast("long").alias(id_col), F.size(_lines(F.col(text_col))).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
-def report_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """Per row: id, n_lines, n_chunks, n_removed (lines) and kept_sha256 of the text that is left; null is empty."""
+
+def report_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+    """Per row: id, n_lines, n_chunks, n_removed (lines) and kept_sha256 when only whole repeated chunks go; null is empty.
+
+    Most short blocks and the edges of longer ones stay; ``report_lines`` finds them.
+    """
     out = repeated_chunks(docs.select(id_col, text_col), id_col, text_col, divisor, min_lines).withColumn("__chunks", line_chunks(F.col(text_col), divisor))
     lines = lambda chunks: F.aggregate(chunks, F.lit(0), lambda n, c: n + F.size(c["lines"]))
     dropped = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(lines(F.filter("__chunks", lambda c: F.array_contains("__gone", c["k"]))))
@@ -80,7 +125,12 @@ def report_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7: repeated chunks of lines of all documents."""
+    """op7 as its SQL has it: repeated chunks of lines of all documents."""
+    return report_chunks(table(spark, sf_dir, "documents"))
+
+
+def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 without chunks: all repeated blocks of two or more lines of all documents."""
     return report_lines(table(spark, sf_dir, "documents"))
 
 
@@ -98,3 +148,17 @@ SELECT doc_id, CAST(sum(m) AS BIGINT) AS n_lines, count(*) AS n_chunks,
        sha256(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (nth = 1), '')) AS kept_sha256
 FROM r GROUP BY doc_id
 """
+
+WHOLE_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+p AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM l),
+r AS (SELECT doc_id, i, row_number() OVER w AS nth, first_value(doc_id) OVER w AS d, first_value(i) OVER w AS f
+      FROM p WHERE body IS NOT NULL WINDOW w AS (PARTITION BY body ORDER BY doc_id, i)),
+g AS (SELECT doc_id, i + 1 AS i FROM r WHERE nth > 1 UNION SELECT doc_id, i FROM r WHERE nth > 1 AND NOT (doc_id = d AND i = f + 1)),
+k AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM k GROUP BY doc_id
+"""

@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sketch": sketch.query,
     "op6_bpe": bpe.query,
     "op7_line_dedup": lines.query,
+    "op7_line_dedup_whole": lines.whole_query,
     "op8_warc_audit": warc.query,
     "op9_suffix_dedup": substrings.query,
     "op10_toxicity": toxicity.query,
@@ -21,5 +22,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_embedding_dedup": embedding.SQL,
     "op4_chat_format": chat.SQL,
     "op7_line_dedup": lines.SQL,
+    "op7_line_dedup_whole": lines.WHOLE_SQL,
     "op8_warc_audit": warc.SQL,
 }
