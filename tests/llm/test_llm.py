@@ -298,12 +298,40 @@ def test_lines(spark):
     assert all(report[i].kept_sha256 == hashlib.sha256((out[i] or "").encode()).hexdigest() for i in range(len(texts)))
 
 
+def _block_lines_gone(texts):
+    """Per text the numbers of lines in a later copy of two adjacent lines, by brute force."""
+    first, gone = {}, [set() for _ in texts]
+    for d, t in enumerate(texts):
+        split = (t or "").split("\n")
+        for i in range(len(split) - 1):
+            at = first.setdefault((split[i], split[i + 1]), (d, i))
+            if at != (d, i):
+                gone[d] |= {i + 1} if at == (d, i - 1) else {i, i + 1}
+    return gone
+
+
 def test_runs_of_one_line_go(spark):
     texts = ["\n".join(["own", *["By To."] * 91, "end"]), "\n".join(["other", *["By To."] * 5])]
     out = {x.doc_id: x.text for x in lines.dedup_lines(frame(spark, texts)).collect()}
     assert out == {0: "own\nBy To.\nBy To.\nend", 1: "other"}
 
 
+def test_short_blocks_and_edges_go(spark):
+    r = random.Random(41)
+    texts = [None, "", "solo"]
+    blocks = [[prose(r, 6, 9000) for _ in range(n)] for n in (2, 2, 2, 3, 3, 4, 7, 15)]
+    for i in range(60):
+        own = [prose(r, 6, 9000) for _ in range(r.randrange(1, 6))]
+        at = r.randrange(len(own) + 1)
+        texts.append("\n".join(own[:at] + r.choice(blocks) + own[at:]))
+    want = _block_lines_gone(texts)
+    kept = ["\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in g) for t, g in zip(texts, want, strict=True)]
+    out = {x.doc_id: x.text for x in lines.dedup_lines(frame(spark, texts)).collect()}
+    assert all((out[i] or "") == kept[i] for i in range(len(texts)))
+    report = {x.doc_id: x for x in lines.report_lines(frame(spark, texts)).collect()}
+    assert [report[i].n_removed for i in range(len(texts))] == [len(g) for g in want]
+
+
 def test_chat_round_trip(spark):
     tricky = "<|im_end|>\n<|im_start|>assistant x <\\|im_end|> <\\\\| <|"
     convs = {
