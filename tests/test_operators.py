@@ -240,3 +240,25 @@ def test_two_level_scan(spark):
     details = spark.createDataFrame([("u1", '<span class="post-time x">on 2024/1/5</span>'), ("u2", "<p>none</p>")], "url string, html string")
     got = {r.source_url: r.published_at for r in parse.with_details(listed, details).collect()}
     assert len(got) == 15 and got["u1"] == "2024-01-05T04:00:00.000Z" and got["u2"] is None
+
+
+def test_feeds_cover_every_event(spark):
+    from tidewire import catalog
+    from tidewire.plans.adapters import articles
+
+    sf = "/root/testdata/sf0.01"
+    got = catalog.QUERIES["S01_feeds"](spark, sf).groupBy("source_name").agg(F.sum("n").alias("n")).collect()
+    want = articles(spark, sf).groupBy("source_name").count().collect()
+    assert {x["source_name"]: x["n"] for x in got} == {x["source_name"]: x["count"] for x in want}
+
+
+def test_whole_queries_cover_every_event(spark):
+    from tidewire import catalog
+
+    sf = "/root/testdata/sf0.01"
+    ids = {x[0] for x in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
+    got = {n: [x[0] for x in catalog.QUERIES[f"{n}_whole"](spark, sf).collect()] for n in ("J09_valid_pairs", "D05_group_merge", "S30_probe_items", "W07_featured", "F45_spread", "J16_not_in_store")}
+    for n in ("J09_valid_pairs", "S30_probe_items", "W07_featured", "F45_spread"):
+        assert sorted(got[n]) == sorted(ids), n
+    assert sorted(i // 4 for i in got["D05_group_merge"]) == sorted({i // 4 for i in ids})
+    assert 0 < len(got["J16_not_in_store"]) <= sum(i % 10 == 0 for i in ids)

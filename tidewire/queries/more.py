@@ -139,6 +139,12 @@ def _(s, d):
     return g.groupBy("grp").agg(F.max_by("id", F.struct("ai_score", -F.col("id"))).alias("id"), (F.sum("merged_count") + F.count("*") - 1).alias("merged")).select("id", "merged")
 
 
+@catalog.add("D05_group_merge_whole", A + ", g AS (SELECT *, id // 4 AS grp FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ai_score DESC, id) AS rn, CAST(sum(merged_count) OVER (PARTITION BY grp) AS BIGINT) + count(*) OVER (PARTITION BY grp) - 1 AS merged FROM g) SELECT id, merged FROM r WHERE rn = 1")
+def _(s, d):
+    g = articles(s, d).withColumn("grp", F.floor(F.col("id") / 4))
+    return g.groupBy("grp").agg(F.max_by("id", F.struct("ai_score", -F.col("id"))).alias("id"), (F.sum("merged_count") + F.count("*") - 1).alias("merged")).select("id", "merged")
+
+
 @catalog.add("D11_distinct_titles", A + ", t AS (SELECT title, min(id) AS ord FROM a WHERE date_key >= '2024-01-25' GROUP BY 1) SELECT title, ord FROM t")
 def _(s, d):
     return articles(s, d).where("date_key >= '2024-01-25'").groupBy("title").agg(F.min("id").alias("ord"))
@@ -219,6 +225,13 @@ def _(s, d):
     return rows.select(F.regexp_extract("x", r"<link>(\d+)</link>", 1).cast("long").alias("id"), F.regexp_extract("x", r"<title>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</title>", 1).alias("title"))
 
 
+@catalog.add("S30_probe_items_whole", A + "SELECT id, title FROM a")
+def _(s, d):
+    xml = F.concat(F.lit("<item><title><![CDATA["), "title", F.lit("]]></title><link>"), F.col("id").cast("string"), F.lit("</link></item>"))
+    rows = articles(s, d).select(xml.alias("x"))
+    return rows.select(F.regexp_extract("x", r"<link>(\d+)</link>", 1).cast("long").alias("id"), F.regexp_extract("x", r"<title>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</title>", 1).alias("title"))
+
+
 @catalog.add("T09_cool_down", "WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events WHERE event_type = 'signup'), f AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT f.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = f.user_id AND e.ts >= f.ts + INTERVAL 3 DAY) FROM f WHERE (SELECT min(e.ts) FROM e WHERE e.user_id = f.user_id AND e.ts >= f.ts + INTERVAL 3 DAY) IS NOT NULL) SELECT user_id, count(*) AS fired FROM f GROUP BY 1")
 def _(s, d):
     # a running state per user: the last instant that fired, and how often; times of one user and type are few

@@ -144,6 +144,12 @@ def _(s, d):
     return dedup.first_by(pairs.where(F.col("a").between(0, 5)), "id", "pos").select(F.col("id").alias("b"), "a")
 
 
+@catalog.add("J09_valid_pairs_whole", A + ", p AS (SELECT id, unnest([id % 7, id % 5 - 1, id % 3]) AS a, generate_subscripts([1, 2, 3], 1) AS pos FROM a), v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM p WHERE a BETWEEN 0 AND 5) SELECT id AS b, a FROM v WHERE rn = 1")
+def _(s, d):
+    pairs = articles(s, d).select("id", F.posexplode(F.array(F.col("id") % 7, F.col("id") % 5 - 1, F.col("id") % 3)).alias("pos", "a"))
+    return dedup.first_by(pairs.where(F.col("a").between(0, 5)), "id", "pos").select(F.col("id").alias("b"), "a")
+
+
 @catalog.add("J10_rest_without_featured", A + " SELECT id FROM a WHERE id NOT IN (SELECT id FROM a WHERE is_featured = 1)")
 def _(s, d):
     a = articles(s, d)
@@ -189,6 +195,12 @@ def _(s, d):
     return n.where("id >= 9500").join(n.where("id < 3000").select("url_norm"), "url_norm", "left_anti").select("id")
 
 
+@catalog.add("J16_not_in_store_whole", A + f", n AS (SELECT id, {NORM} AS u FROM a) SELECT id FROM n WHERE id % 10 = 0 AND u NOT IN (SELECT u FROM n WHERE id % 10 <> 0)")
+def _(s, d):
+    n = _norm(articles(s, d)).select("id", "url_norm")
+    return n.where("id % 10 = 0").join(n.where("id % 10 <> 0").select("url_norm"), "url_norm", "left_anti").select("id")
+
+
 @catalog.add("J18_checkpoint_skip", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
 def _(s, d):
     return read(s, d, "orders").join(read(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
@@ -244,6 +256,12 @@ def _(s, d):
     return select.mark_featured(articles(s, d).where("id % 20 = 0").withColumn("ord", F.col("id")), first_share=0.25).select("id", "featured")
 
 
+@catalog.add("W07_featured_whole", A + """, m AS (SELECT id, date_key, ai_score, sum(CASE WHEN ai_score >= 80 THEN 1 ELSE 0 END) OVER (PARTITION BY date_key ORDER BY id) AS seen, count(*) OVER (PARTITION BY date_key) AS n FROM a)
+    SELECT id, CASE WHEN ai_score >= 80 AND seen <= least(n, 5, greatest(1, floor(n * 0.25))) THEN 1 ELSE 0 END::BIGINT AS featured FROM m""")
+def _(s, d):
+    return select.mark_featured(articles(s, d).withColumn("ord", F.col("id")), first_share=0.25).select("id", "featured")
+
+
 @catalog.add("J17_replacements", A + """, c AS (SELECT date_key, id, ai_score, row_number() OVER (PARTITION BY date_key ORDER BY ai_score DESC, id) AS k FROM a WHERE id % 2 = 0 AND ai_score BETWEEN 55 AND 75),
     v AS (SELECT date_key, id, ai_score, row_number() OVER (PARTITION BY date_key ORDER BY ai_score, id) AS k FROM a WHERE id % 2 = 1 AND ai_score BETWEEN 65 AND 80),
     j AS (SELECT c.date_key, k, c.id, v.id AS victim, sum(CASE WHEN v.ai_score < c.ai_score THEN 0 ELSE 1 END) OVER (PARTITION BY c.date_key ORDER BY k) AS broken FROM c JOIN v USING (date_key, k) WHERE k <= 5)

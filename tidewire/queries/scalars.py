@@ -221,6 +221,11 @@ def _(s, d):
     return articles(s, d).where("id % 3 = 0").select("id", scores.spread(F.col("id") % 10, F.lit(10), F.lit(80), F.lit(89)).alias("score"))
 
 
+@catalog.add("F45_spread_whole", A + "SELECT id, 89 - floor((id % 10) * 9 / 9.0 + 0.5)::BIGINT AS score FROM a")
+def _(s, d):
+    return articles(s, d).select("id", scores.spread(F.col("id") % 10, F.lit(10), F.lit(80), F.lit(89)).alias("score"))
+
+
 @catalog.add("P02_windows", A + "SELECT DISTINCT source_name, CASE WHEN length(source_name) = 2 THEN greatest(168, 240) ELSE 36 END::BIGINT AS direct, CASE WHEN length(source_name) = 2 THEN 168 ELSE 36 END::BIGINT AS rescued FROM a")
 def _(s, d):
     official = F.length("source_name") == 2
@@ -307,8 +312,9 @@ def _(s, d):
 @catalog.add("S01_feeds")
 def _(s, d):
     item = F.concat(F.lit("<item><title>"), "source_name", F.lit(" news</title><link>"), "source_url", F.lit("</link><pubDate>Mon, 15 Jan 2024 10:00:00 +0800</pubDate></item>"))
-    rows = articles(s, d).where("id < 2000").withColumn("source_url", F.regexp_replace("source_url", r"\?.*", ""))
-    feeds = rows.groupBy("source_name").agg(F.array_join(F.collect_list(item), "").alias("items"))
+    rows = articles(s, d).withColumn("source_url", F.regexp_replace("source_url", r"\?.*", ""))
+    # a feed per source and range of ids, so that a body stays small however many items a source has
+    feeds = rows.groupBy("source_name", F.floor(F.col("id") / 2000)).agg(F.array_join(F.collect_list(item), "").alias("items"))
     fetched = feeds.select(F.lit("feed").alias("scraper"), F.col("source_name").alias("name"), F.lit("https://x.example/").alias("url"), F.lit("company").alias("category"), F.lit("en").alias("language"), F.lit("media").alias("source_type"), F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("body"), F.lit("2024-01-20 00:00:00").alias("now"))
     return parse.parse_pages(fetched).groupBy("source_name", "published_at").agg(F.count("*").alias("n"))
 
