@@ -262,3 +262,15 @@ def test_whole_queries_cover_every_event(spark):
         assert sorted(got[n]) == sorted(ids), n
     assert sorted(i // 4 for i in got["D05_group_merge"]) == sorted({i // 4 for i in ids})
     assert 0 < len(got["J16_not_in_store"]) <= sum(i % 10 == 0 for i in ids)
+
+
+def test_grounding_reads_the_whole_text(spark, tmp_path):
+    import re
+
+    from tidewire import catalog
+
+    long = "plain words " * 300 + "then Zephyr9 and Quartz7 close"
+    spark.createDataFrame([(1, long), (2, "short Alpha1"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.tokens, x.grounded) for x in catalog.QUERIES["F30_grounding"](spark, str(tmp_path)).collect()}
+    brute = {w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9]*", long) if re.search("[A-Z]", w)}
+    assert got[1] == (len(brute), True) and got[2] == (1, True)

@@ -104,7 +104,8 @@ def hard_tokens(text: Column, stopwords: list[str]) -> Column:
 def grounded(assertion: Column, body: Column, stopwords: list[str]) -> Column:
     """Every hard token of the assertion stands in the body."""
     seen = F.lower(squash(body))
-    return F.forall(hard_tokens(assertion, stopwords), lambda t: F.instr(seen, t) > 0)
+    # the body is bound outside the inner lambda, so that it is squashed once and not for each token
+    return F.transform(F.array(seen), lambda b: F.forall(hard_tokens(assertion, stopwords), lambda t: F.instr(b, t) > 0))[0]
 
 
 def is_shell(text: Column) -> Column:

@@ -149,7 +149,7 @@ def _(s, d):
 @catalog.add("F30_grounding")
 def _(s, d):
     stop = ["AI", "API", "CEO", "GPU"]
-    return _docs(s, d).select("doc_id", F.size(text.hard_tokens(F.substring("text", 1, 2000), stop)).alias("tokens"), text.grounded(F.substring("text", 1, 2000), F.col("text"), stop).alias("grounded"))
+    return _docs(s, d).select("doc_id", F.size(text.hard_tokens(F.col("text"), stop)).alias("tokens"), text.grounded(F.col("text"), F.col("text"), stop).alias("grounded"))
 
 
 @catalog.add("F29_material", "SELECT doc_id, CASE WHEN length(text) >= 200 THEN 'content' ELSE 'none' END AS kind FROM documents")
