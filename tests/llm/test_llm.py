@@ -92,6 +92,12 @@ def test_embeddings_against_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (links.get(i, 0), comp[i], comp[i] == i)
 
 
+def test_pairs_at_the_threshold_are_missed_once_in_a_hundred_thousand():
+    for n in (100, 10_000, 1_000_000):
+        bits, tables = embedding.hash_plan(n, 0.9)
+        assert (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables <= 1e-5
+
+
 def test_big_buckets_are_cut(spark, monkeypatch):
     monkeypatch.setattr(embedding, "CHUNK", 16)
     g = np.random.default_rng(4)
