@@ -386,6 +386,21 @@ def test_audit_finds_damage_only(spark):
     assert warc.audit_pages(pages.limit(0)).count() == 0
 
 
+def test_audit_names_lost_and_added_records(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * 5) for i in range(200)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    more = spark.createDataFrame([(500, "http://h/500", "new")], pages.schema)
+    left = warc.manifest(warc.warc_records(pages), 1)
+    right = warc.manifest(warc.warc_records(pages.where("page_id is null or page_id not in (3, 120)").union(more)), 1)
+    found = warc.audit(left, right)
+    lost = found.where("status <> 'added'").join(left, ["segment", "idx"]).collect()
+    assert {x.page_id for x in lost if x.status == "missing"} == {3, 120}
+    assert not [x for x in lost if x.status == "corrupt"]
+    assert {x.page_id for x in lost if x.status == "moved"} == set(range(4, 200)) - {120}
+    new = found.where("status = 'added'").join(right, ["segment", "idx"]).collect()
+    assert [x.page_id for x in new] == [500]
+
+
 def test_toxicity_held_out(spark):
     spark_dir = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{spark_dir}/documents.parquet"), spark.read.parquet(f"{spark_dir}/labels.parquet")

@@ -55,7 +55,8 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """Statuses of the records of two manifests: (segment, idx, status) of those that differ.
 
     Roots are compared first; only below nodes that differ the next level is compared, down to the records.
-    corrupt: other bytes; moved: the same bytes at another offset; missing or added: on one side only.
+    corrupt: other bytes; moved: the same bytes at another offset; missing or added: on one side only. idx is the place
+    in ``left``, for added records that in ``right``.
     """
     levels = []
     for side in (left, right):
@@ -78,9 +79,25 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
             sides.append(nodes)
         bad = sides[0].alias("a").join(sides[1].alias("b"), ["segment", "idx"], "full").where(differs(F.col("a.digest"), F.col("b.digest")) | differs(F.col("a.start"), F.col("b.start"))).select("segment", "idx")
     leaves = [chain[0].withColumn("up", F.floor(F.col("idx") / FANOUT)).join(bad.withColumnRenamed("idx", "up"), ["segment", "up"], "left_semi").drop("up") for chain in levels]
-    both = leaves[0].alias("a").join(leaves[1].alias("b"), ["segment", "idx"], "full")
-    status = F.when(F.col("b.digest").isNull(), "missing").when(F.col("a.digest").isNull(), "added").when(F.col("a.digest") != F.col("b.digest"), "corrupt").when(F.col("a.start") != F.col("b.start"), "moved")
-    return both.select("segment", "idx", status.alias("status")).where("status is not null")
+    # a lost or added record shifts the places of those behind it: records are paired by name and bytes, then by name
+    name = ["segment", "page_id", "url"]
+    names = [s.select("segment", "idx", "page_id", "url") for s in (left, right)]
+    a, b = (x.join(n, ["segment", "idx"]).withColumn("nth", F.row_number().over(Window.partitionBy(*name, "digest").orderBy("idx"))) for x, n in zip(leaves, names, strict=True))
+    both = materialize(_paired(a, b, [*name, "digest", "nth"]), "pairs")
+    same = both.where("a_idx is not null and b_idx is not null").select("segment", F.col("a_idx").alias("idx"), F.when(F.col("a_start") != F.col("b_start"), "moved").alias("status"))
+    place = Window.partitionBy(*name).orderBy("idx")
+    a, b = (both.where(f"{other}_idx is null").select(*name, F.col(f"{own}_idx").alias("idx"), F.col(f"{own}_start").alias("start")).withColumn("nth", F.row_number().over(place)) for own, other in (("a", "b"), ("b", "a")))
+    rest = _paired(a, b, [*name, "nth"])
+    status = F.when(F.col("b_idx").isNull(), "missing").when(F.col("a_idx").isNull(), "added").otherwise("corrupt")
+    return same.where("status is not null").union(rest.select("segment", F.coalesce("a_idx", "b_idx").alias("idx"), status.alias("status")))
+
+
+def _paired(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Full join on ``key``, nulls alike: the key, and idx and start of both sides."""
+    sides = [x.select(*(F.col(k).alias(f"{n}_{k}") for k in key), F.col("idx").alias(f"{n}_idx"), F.col("start").alias(f"{n}_start")) for n, x in (("a", a), ("b", b))]
+    on = [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in key]
+    out = sides[0].join(sides[1], on, "full")
+    return out.select(*(F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in key), "a_idx", "a_start", "b_idx", "b_start")
 
 
 def damaged(records: DataFrame) -> DataFrame:
