@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
+
 import corpus_pipeline
 from tests.llm import test_llm as base
+from tidewire.llm import similar
 
 
 def test_stages_against_brute_force(spark):
@@ -21,11 +24,8 @@ def test_stages_against_brute_force(spark):
     assert got[len(texts) - 2].text == texts[-2] and len(got[len(texts) - 1].text) < len(texts[-1])
 
     kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
-    prints = []
-    for t in texts:
-        h = base.shingle_hashes(t, 3)
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-    comp = base.union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    sets = [set(base.shingle_hashes(t, 5)) for t in texts]
+    comp = base.union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
     assert kept == {i for i in range(len(texts)) if comp[i] == i}
 
     cut = {x.doc_id: x.text for x in corpus_pipeline.cut_repeated_strings(spark, docs, "").collect()}
@@ -41,9 +41,11 @@ def test_whole_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_dedup", "suffix_array_dedup", "best_fit_packing"]
 
 
-def test_edited_copies_go_at_any_fingerprint_distance(spark):
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_edited_copies_go_at_any_fingerprint_distance(spark, monkeypatch, chunk):
     import random
 
+    monkeypatch.setattr(similar, "CHUNK", chunk)
     r = random.Random(31)
     texts = [None, "", "two words"]
     for _ in range(40):
@@ -60,3 +62,40 @@ def test_edited_copies_go_at_any_fingerprint_distance(spark):
     docs = base.frame(spark, texts)
     kept = {x.doc_id for x in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()}
     assert kept == {i for i in range(len(texts)) if comp[i] == i}
+
+
+def test_other_documents_under_a_repeated_id_stay(spark):
+    import random
+
+    r = random.Random(32)
+    a, b = base.prose(r, 50, 9000), base.prose(r, 50, 9000)
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 3), (None, a, 4), (None, None, 5), (7, None, 6), (8, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 int")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(x.k1 for x in out.collect()) == [1, 3, 4, 5, 6]
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_links_never_grow_with_the_square_of_a_group():
+    import numpy as np
+
+    g = np.random.default_rng(33)
+    core = g.integers(0, 1 << 60, 90, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([core[: int(k)], g.integers(0, 1 << 60, 10, dtype=np.uint64)])) for k in g.integers(40, 91, 200)]
+    u, v = similar.spanning_links(sets, np.arange(200), np.arange(200), np.arange(200), 0.8)
+    near = [(i, j) for i in range(200) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert len(u) < 200 and set(zip(np.maximum(u, v).tolist(), np.minimum(u, v).tolist(), strict=True)) <= set(near)
+    assert base.union_find(200, list(zip(u, v, strict=True))) == base.union_find(200, near)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = base.frame(spark, ["a b\nc d", "é" * 210, "é" * 210, None]).selectExpr("*", "1 AS k1", "2 AS K2", "3 AS spans", "4 AS gone", "5 AS score", "6 AS void", "7 AS __key", "8 AS __gone")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    import unittest.mock
+
+    with unittest.mock.patch.object(corpus_pipeline, "table", lambda *_: labels):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            assert {tuple(r[5:]) for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}

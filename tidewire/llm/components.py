@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.session import materialize
+from tidewire.llm.session import discard, materialize
 
 
 def min_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = near.select(F.col("v").alias("u"), F.col("low").alias("v"))
         own = low.select("u", F.col("low").alias("v"))
         edges_now = moved.union(own).where("u <> v").distinct()
-        star = materialize(edges_now.mapInPandas(_contract, "u long, v long").distinct(), "edges")
+        before, star = star, materialize(edges_now.mapInPandas(_contract, "u long, v long").distinct(), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).union(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

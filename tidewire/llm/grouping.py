@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidewire.llm import kernels
+
 
 def runs(reader, keys: list[str]):
     """Yield one Arrow table per run of equal ``keys``; only the run that a batch ends with is held over.
@@ -14,7 +16,7 @@ def runs(reader, keys: list[str]):
     """
     held: list[pa.RecordBatch] = []
     last = None
-    for batch in reader:
+    for batch in kernels.lean(reader):
         if not batch.num_rows:
             continue
         change = np.zeros(batch.num_rows - 1, dtype=bool)

@@ -167,12 +167,23 @@ def _xxh64_block(lanes, halves, raw, start, length, seed):
     return h
 
 
-def batches(reader, column: str, max_bytes: int = 16 << 20):
-    """Cut Arrow batches into slices of bounded text size; one longer text is a slice of its own.
+def lean(reader):
+    """The batches of a partition; at its end free memory goes back to the system, since workers live on, next to
+    those of other stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    yield from reader
+    trim()
+
+
+def trim() -> None:
+    """Hand free memory back to the system."""
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-    At the end of a partition free memory goes back to the system: workers live on, next to those of other stages.
-    """
-    for batch in reader:
+
+def batches(reader, column: str, max_bytes: int = 16 << 20):
+    """Cut Arrow batches into slices of bounded text size; one longer text is a slice of its own."""
+    for batch in lean(reader):
         if not batch.num_rows:
             continue
         sizes = np.diff(as_bytes(batch.column(column))[1])
@@ -180,6 +191,3 @@ def batches(reader, column: str, max_bytes: int = 16 << 20):
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # glibc only
-        ctypes.CDLL("libc.so.6").malloc_trim(0)

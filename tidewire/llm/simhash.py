@@ -3,28 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import kernels
 from tidewire.llm.components import connected_components, min_labels
-from tidewire.llm.session import materialize, shuffle_width, table
+from tidewire.llm.grouping import runs
+from tidewire.llm.session import discard, materialize, shuffle_width, table
 
-#: Distinct fingerprints that a shard should hold on average.
-SHARD = 4096
+#: Distinct fingerprints that a shard should hold on average; more than HOT are compared in chunks.
+SHARD, HOT = 4096, 16_384
+#: Levels of the top trees. Each one copies over half of the fingerprints to a boundary, so there are few.
+DEPTH = 2
 #: Fingerprints from which vantage points and radii are taken; any sample gives the same links.
 SAMPLE = 20_000
 #: A node of a shard's tree with at most so many fingerprints on a side is compared directly.
 LEAF = 512
 
 
-def simhash64(column: pa.Array, width: int = 3) -> np.ndarray:
-    """64-bit fingerprints: bit i is set if bit i of XXH64 (seed 42) is set in over half of the shingles."""
-    words = kernels.split_words(column)
-    start, length, first = kernels.shingles(words, width)
-    hashes = kernels.xxh64(words.buffer, start, length)
+def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints: bit i is set if bit i is set in over half of a document's hashes."""
     n = len(first) - 1
     ones = np.zeros((n, 64), dtype=np.int32)
     count = np.diff(first)
@@ -33,7 +32,7 @@ def simhash64(column: pa.Array, width: int = 3) -> np.ndarray:
         b = int(np.searchsorted(first, first[a] + (1 << 17), side="right")) - 1
         b = min(max(b, a + 1), n)
         full = np.flatnonzero(count[a:b]) + a
-        for s in range(0, 1) if len(full) else ():
+        if len(full):
             h = hashes[first[a] : first[b]]
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[full] = np.add.reduceat(bits, first[full] - first[a], axis=0, dtype=np.int32)
@@ -42,6 +41,13 @@ def simhash64(column: pa.Array, width: int = 3) -> np.ndarray:
     return np.packbits(flags, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
+def simhash64(column: pa.Array, width: int = 3) -> np.ndarray:
+    """Fingerprints over the XXH64 (seed 42) of the ``width``-word shingles, repeats included."""
+    words = kernels.split_words(column)
+    start, length, first = kernels.shingles(words, width)
+    return majority(kernels.xxh64(words.buffer, start, length), first)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp): fp is the 64-bit fingerprint as a signed long. Null text is the empty text, with fingerprint 0."""
 
@@ -97,8 +103,12 @@ def assign(fp: np.ndarray, levels: list[tuple[int, int]], near: int) -> tuple[np
     return row, shard, side
 
 
-def _forest(fp: np.ndarray, side: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the components of one shard, found with a vantage-point tree in memory."""
+def _forest(fp: np.ndarray, side: np.ndarray, near: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the components of one shard, found with a vantage-point tree in memory.
+
+    ``own`` (0 or 1) tells the two chunks of a shard that is too large for one task: then only pairs of different
+    chunks are compared.
+    """
     label = np.arange(len(fp))
     found_u: list[np.ndarray] = []
     found_v: list[np.ndarray] = []
@@ -118,7 +128,10 @@ def _forest(fp: np.ndarray, side: np.ndarray, near: int) -> tuple[np.ndarray, np
                 change[node] = low
                 np.copyto(label, change[label])
 
-    stack = [(np.flatnonzero(side == 0), None), (np.flatnonzero(side == 1), np.flatnonzero(side == 2))]
+    if own is None:
+        stack = [(np.flatnonzero(side == 0), None), (np.flatnonzero(side == 1), np.flatnonzero(side == 2))]
+    else:
+        stack = [(np.flatnonzero((side == x) & (own == 0)), np.flatnonzero((side == y) & (own == 1))) for x, y in ((0, 0), (1, 2), (2, 1))]
     while stack:
         a, b = stack.pop()
         if b is None:
@@ -158,33 +171,69 @@ def _cut(at: np.ndarray, d: np.ndarray, radius: float, near: int):
     return at[inner], at[~inner], at[inner & (d > radius - near)], at[~inner & (d <= radius + near)]
 
 
+def near_links(nodes: DataFrame, near: int = 3) -> DataFrame:
+    """(u, v): links that span the groups of fingerprints within ``near`` bits.
+
+    ``nodes`` is a written table with a distinct long ``fp`` and an ``id`` each. A fingerprint is cut into near + 1
+    parts, of which two fingerprints within ``near`` bits share one; each part makes a forest of vantage-point
+    trees, one for each value of as many of its bits as the number of fingerprints asks for. So the top trees
+    have two levels at any size, and a fingerprint has a bounded number of copies. Where it lies within ``near`` of
+    a ball's boundary, it is also sent to the shard of that boundary. Shards beyond ``HOT`` (fingerprints that
+    lie so close together that no ball parts them) are cut into chunks, and chunk pairs go to different tasks.
+    """
+    spark = nodes.sparkSession
+    n = nodes.count()
+    want = max(0, int(np.ceil(np.log2(max(1, n / SHARD)))))
+    depth = min(want, DEPTH)
+    parts = near + 1 if want > depth else 1
+    bits = min(want - depth, 64 // parts)
+    levels: list[tuple[int, int]] = []
+    if depth:
+        sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()
+        levels = plan_tree(sample.fp.to_numpy().view(np.uint64), depth)
+
+    def place(reader):
+        for batch in kernels.lean(reader):
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            row, ball, side = assign(fp, levels, near)
+            for p in range(parts):
+                tree = (fp[row] >> np.uint64(p * (64 // parts))) & np.uint64((1 << bits) - 1)
+                shard = ((tree * np.uint64(parts) + np.uint64(p)) << np.uint64(8)) | ball
+                yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(side), pa.array(fp[row].view(np.int64)), batch.column("id").take(pa.array(row))], ["shard", "side", "fp", "id"])
+
+    def links(reader):
+        for t in runs(reader, ["shard", "a", "b"]):
+            if len(t) < 2:
+                continue
+            a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+            ids = t.column("id").to_numpy()
+            own = None if a == b else (t.column("own").to_numpy() == b).astype(np.int8)
+            u, v = _forest(t.column("fp").to_numpy().view(np.uint64), t.column("side").to_numpy(), near, own)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
+
+    placed = nodes.select("fp", "id").mapInArrow(place, "shard long, side byte, fp long, id long")
+    hot = materialize(placed.groupBy("shard").count().where(F.col("count") > HOT).select("shard", F.ceil(F.col("count") / (HOT // 2)).cast("int").alias("chunks")), "simhash-hot")
+    chunked = placed.join(hot, "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    dealt = dealt.select("shard", "a", "b", "own", "side", "fp", "id").repartition(shuffle_width(spark), "shard", "a", "b").sortWithinPartitions("shard", "a", "b")
+    out = materialize(dealt.mapInArrow(links, "u long, v long"), "simhash-links")
+    discard(hot)
+    return out
+
+
 def near_groups(prints: DataFrame, near: int = 3) -> DataFrame:
     """(fp, component) for each distinct fingerprint; component is the smallest id reachable over links.
 
-    ``prints`` has id and fp. Documents with equal fingerprints are one node, represented by their smallest id.
+    ``prints`` has id and fp. Documents with equal fingerprints are one node, represented by their smallest id;
+    rows without id are nodes among themselves, with a component only where an id is near.
     """
-    spark = prints.sparkSession
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash-nodes")
-    n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD)))))
-    levels = plan_tree(sample.fp.to_numpy().view(np.uint64), min(depth, 24)) if depth else []
-
-    def place(frames):
-        for f in frames:
-            row, shard, side = assign(f.fp.to_numpy().view(np.uint64), levels, near)
-            yield pd.DataFrame({"shard": shard.view(np.int64), "side": side, "fp": f.fp.to_numpy()[row], "id": f.id.to_numpy()[row]})
-
-    def links(frame: pd.DataFrame) -> pd.DataFrame:
-        # a fingerprint is on one side of a shard only once
-        u, v = _forest(frame.fp.to_numpy().view(np.uint64), frame.side.to_numpy(), near)
-        ids = frame.id.to_numpy()
-        return pd.DataFrame({"u": ids[u], "v": ids[v]})
-
-    placed = nodes.mapInPandas(place, "shard long, side byte, fp long, id long")
-    edges = placed.repartition(shuffle_width(spark), "shard").groupBy("shard").applyInPandas(links, "u long, v long")
-    groups = connected_components(edges)
-    return nodes.join(groups, nodes.id == groups.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = materialize(nodes.select("fp", "least", F.monotonically_increasing_id().alias("id")), "simhash-nodes")
+    groups = connected_components(near_links(nodes, near))
+    whole = materialize(nodes.join(groups, nodes.id == groups.node, "left").select("fp", "least", F.coalesce("component", "id").alias("group")), "simhash-groups")
+    least = whole.groupBy("group").agg(F.min("least").alias("component"))
+    return whole.join(least, "group").select("fp", "component")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, near: int = 3) -> DataFrame:
