@@ -162,7 +162,7 @@ def test_bpe_matches_the_library(spark, library):
 
 
 def test_bpe_keeps_exact_when_its_tables_turn_over(library, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 20)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 20)
     e = bpe.TrieBpe(bpe.public_vocabulary())
     r = random.Random(8)
     for _ in range(20):
@@ -255,12 +255,13 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("seed", [12, 13])
-def test_repeated_strings_against_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "hot"), [(12, 2048), (13, 2048), (14, 12), (15, 3)])
+def test_repeated_strings_against_brute_force(spark, seed, hot, monkeypatch):
     monkeypatch.setattr(substrings, "BATCH", 8)
+    monkeypatch.setattr(substrings, "HOT", hot)
     r = random.Random(seed)
     passages = [prose(r, 60, 9000) for _ in range(4)]
-    texts = list(EDGE) + ["ab" * 300, "é" * 150]
+    texts = list(EDGE) + ["ab" * 300, "é" * 150, "x" * 900, "abc" * 400, f"{passages[0][:90]}{'abc' * 150}", "y" * 200]
     for _ in range(60):
         parts = []
         for _ in range(r.randrange(1, 5)):
@@ -280,11 +281,40 @@ def test_suffix_levels_grow_geometrically():
     r = random.Random(14)
     levels = substrings.SuffixLevels(200)
     common = bytes(r.randrange(256) for _ in range(200))
-    for k in range(20):
+    for k in range(40):
         raw = np.frombuffer(bytes(r.randrange(256) for _ in range(100)) + (common if k in (3, 17) else bytes(r.randrange(256) for _ in range(200))), np.uint8)
         levels.add(raw, np.array([0, len(raw)]))
     assert levels.repeated.sum() == 2
-    assert len(levels.levels) <= 6
+    sizes = [len(x) for x in levels.levels]
+    assert len(sizes) <= 7 and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    strings = [levels.raw[s : s + 200].tobytes() for s in levels.start[levels.levels[0]].tolist()]
+    assert strings == sorted(strings)
+
+
+def test_suffix_array_is_lexicographic():
+    r = random.Random(16)
+    for alphabet in (b"ab", bytes(range(256))):
+        raw = bytes(r.choice(alphabet) for _ in range(700)) + b"\0" * 30 + b"ab" * 60
+        start = np.arange(len(raw) - 39)
+        order, new = substrings.suffix_array(np.frombuffer(raw, np.uint8), start, 40)
+        strings = [raw[i : i + 40] for i in order.tolist()]
+        assert strings == sorted(strings)
+        assert [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))] == new.tolist()
+
+
+def test_periodic_text_has_few_anchors(spark):
+    for unit in ("a", "ab", "abcdefg", "line\n" * 15):
+        raw = np.frombuffer((unit * (1_000_000 // len(unit))).encode(), np.uint8)
+        assert len(substrings.anchors(raw, np.array([0, len(raw)]), 200)[0]) < len(raw) / 30
+    out = {x.doc_id: x for x in substrings.digest_kept(frame(spark, ["z" * 3_000_000, "ab" * 100, "short"])).collect()}
+    assert (out[0].n_removed, out[1].n_removed, out[2].n_removed) == (3_000_000, 0, 0)
+
+
+def test_repeated_ids_are_told_apart(spark):
+    p = "".join(random.Random(17).choice("abcdefgh") for _ in range(300))
+    rows = [(1, f"{p} one"), (1, "nothing here"), (None, f"two {p}"), (None, None), (2, ""), (2, None)]
+    got = {(x.doc_id, x.text) for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, " one"), (1, "nothing here"), (None, "two "), (None, None), (2, ""), (2, None)}
 
 
 def test_removed_text_stays_text(spark):

@@ -13,12 +13,16 @@ from pyspark.sql import types as T
 
 from tidewire.llm import kernels
 from tidewire.llm.grouping import runs
-from tidewire.llm.session import materialize, shuffle_width, table
+from tidewire.llm.session import free_names, materialize, row_key, shuffle_width, table
 
 #: Bytes of an anchor: a string that is chosen by its content only.
 ANCHOR = 64
 #: Contexts that make a batch of the index.
-BATCH = 2048
+BATCH = 512
+#: Contexts under one key that a task takes; those of a key with more are dealt anew by what stands around the anchor.
+HOT = 2048
+#: Parts of the strings over an anchor, by their place, when a key is dealt anew.
+PARTS = 8
 #: Anchors of one content that a batch of texts hands on; the others are decided at once.
 REPS = 3
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -65,11 +69,30 @@ def _sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     return op(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def _thinned(at: np.ndarray, doc: np.ndarray, value: np.ndarray, width: int) -> np.ndarray:
+    """Which anchors are enough: of equal ones in a document that follow each other closely (periodic text) only so
+    many that each string that holds one of them still holds one that is kept."""
+    order = np.lexsort((at, value, doc))
+    a, d, v = at[order], doc[order], value[order]
+    close = (d[1:] == d[:-1]) & (v[1:] == v[:-1]) & (a[1:] - a[:-1] <= width)
+    keep = np.ones(len(at), bool)
+    edge = np.diff(np.concatenate([[0], close.astype(np.int8), [0]]))
+    for first, last in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        run = a[first : last + 1]
+        keep[order[first + 1 : last]] = False
+        i = 0
+        while i < len(run) - 1:
+            i = max(i + 1, int(np.searchsorted(run, run[i] + width, side="right")) - 1)
+            keep[order[first + i]] = True
+    return keep
+
+
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(position, document, anchor hash, context start, context end, context hash) of the anchors of all texts.
 
     Each string of ``length`` bytes holds its smallest ``ANCHOR``-byte string by hash, so equal strings hold an
-    equal anchor at an equal place. The context of an anchor is all that such strings around it can cover.
+    equal anchor at an equal place; in periodic text, one of a few. The context of an anchor is all that such strings
+    around it can cover.
     """
     none = tuple(np.zeros(0, np.uint64 if c in (2, 5) else np.int64) for c in range(6))
     if len(raw) < length:
@@ -88,88 +111,106 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     if not len(at):
         return none
     doc = np.searchsorted(offsets, at, side="right") - 1
+    thin = _thinned(at, doc, exact[at], width)
+    at, doc = at[thin], doc[thin]
     start = np.maximum(offsets[doc], at - (length - ANCHOR))
     end = np.minimum(offsets[doc + 1], at + length)
     context = _mix(rolling.spans(start, end) ^ _mix((at - start).astype(np.uint64) << np.uint64(20) ^ (end - at).astype(np.uint64)))
     return at, doc, exact[at], start, end, context
 
 
+def suffix_array(raw: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the strings of ``length`` bytes at ``start`` in lexicographic order, and which of them, in this
+    order, differ from the one before.
+
+    By prefix doubling: the rank of 8 bytes is that of a number, and the ranks of twice as many bytes follow from
+    two ranks side by side, up to ``length``. Ranks are exact, so equal strings, and no others, have equal ranks.
+    """
+    n = len(raw)
+    padded = np.concatenate([raw, np.zeros(length + 8, np.uint8)])
+    key = np.ndarray((n + length,), ">u8", padded, 0, (1,)).astype(np.uint64)
+    width = 8
+    while True:
+        order = np.argsort(key)
+        there = key[order]
+        rank = np.empty(len(key), np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[False], there[1:] != there[:-1]]), dtype=np.uint64)
+        if 2 * width > length:
+            break
+        rank = np.concatenate([rank, np.zeros(width, np.uint64)])
+        key = rank[: n + length] << np.uint64(32) | rank[width : width + n + length]
+        width *= 2
+    whole = rank[start] << np.uint64(32) | rank[start + (length - width)]
+    order = np.argsort(whole, kind="stable")
+    return order, np.concatenate([np.ones(min(1, len(order)), bool), whole[order][1:] != whole[order][:-1]])
+
+
 class SuffixLevels:
     """Suffix arrays of geometrically growing sizes over the strings around one or more anchors.
 
-    A suffix array holds the starts of all strings of ``length`` bytes of its contexts, sorted by their first two
-    bytes and then by a hash of the whole string; beyond ``length`` nothing is compared, so this order serves as
-    well as the lexicographic one. A new batch gets a suffix array of its own and is merge-scanned against each
-    level; equal strings are neighbours, and their bytes are compared. Levels of equal size are merged.
+    A suffix array holds the strings of ``length`` bytes of its contexts, one of equal ones, in lexicographic
+    order; beyond ``length`` nothing has to be found. A new batch gets a suffix array of its own and is
+    merge-scanned against each level, bytes against bytes. Levels of equal size are merged.
     """
 
     def __init__(self, length: int) -> None:
         self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys, index of a string with that key
+        self.levels: list[np.ndarray] = []  # strings in order
         self.start = np.zeros(0, np.int64)  # of each string in ``raw``
         self.repeated = np.zeros(0, bool)
         self.raw = np.zeros(0, np.uint8)
 
-    def _same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), bool)
-        span = np.arange(self.length)
-        for k in range(0, len(a), 8192):
-            x, y = self.start[a[k : k + 8192]], self.start[b[k : k + 8192]]
-            out[k : k + 8192] = (self.raw[x[:, None] + span] == self.raw[y[:, None] + span]).all(axis=1)
-        return out
-
-    def _meet(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Mark strings with equal keys whose bytes are equal."""
-        same = self._same(a, b)
-        if not same.all():
-            raise ArithmeticError("two strings share a hash")
-        self.repeated[a] = True
-        self.repeated[b] = True
+    def _bytes(self, refs: np.ndarray) -> np.ndarray:
+        if not len(refs):
+            return np.zeros(0, f"S{self.length}")
+        return self.raw[self.start[refs][:, None] + np.arange(self.length)].view(f"S{self.length}").reshape(-1)
 
     def add(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Add contexts; returns the index of the first string of each, and one more."""
         base, strings = len(self.raw), len(self.start)
-        per = np.diff(offsets) - self.length + 1
+        per = np.maximum(np.diff(offsets) - self.length + 1, 0)
         first = np.concatenate([[0], np.cumsum(per)])
         start = np.arange(first[-1]) + np.repeat(offsets[:-1] - first[:-1], per)
-        hashes = Rolling(raw).spans(start, start + self.length)
-        keys = raw[start].astype(np.uint64) << np.uint64(56) | raw[start + 1].astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16)
         self.raw = np.concatenate([self.raw, raw])
         self.start = np.concatenate([self.start, start + base])
         self.repeated = np.concatenate([self.repeated, np.zeros(len(start), bool)])
-        order = np.argsort(keys, kind="stable")
-        keys, refs = keys[order], order + strings
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
-        self._meet(refs[head[~new]], refs[~new])
-        keys, refs = keys[new], refs[new]
-        for level_keys, level_refs in self.levels:
-            k = np.minimum(np.searchsorted(level_keys, keys), len(level_keys) - 1)
-            hit = level_keys[k] == keys
-            self._meet(level_refs[k[hit]], refs[hit])
-        self.levels.append((keys, refs))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, ra), (b, rb) = self.levels.pop(), self.levels.pop()
-            both, refs = np.concatenate([b, a]), np.concatenate([rb, ra])
-            order = np.argsort(both, kind="stable")
-            both, refs = both[order], refs[order]
-            new = np.concatenate([[True], both[1:] != both[:-1]])
-            self.levels.append((both[new], refs[new]))
+        order, new = suffix_array(raw, start, self.length)
+        refs = order + strings
+        self.repeated[refs[1:][~new[1:]]] = True
+        self.repeated[refs[:-1][~new[1:]]] = True
+        refs = refs[new]
+        if self.levels:
+            own = self._bytes(refs)
+            for level in self.levels:
+                there = self._bytes(level)
+                k = np.minimum(np.searchsorted(there, own), len(there) - 1)
+                hit = there[k] == own
+                self.repeated[level[k[hit]]] = True
+                self.repeated[refs[hit]] = True
+        if len(refs):
+            self.levels.append(refs)
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            small, large = sorted([self.levels.pop(), self.levels.pop()], key=len)
+            a, b = self._bytes(large), self._bytes(small)
+            k = np.searchsorted(a, b)
+            more = a[np.minimum(k, len(a) - 1)] != b
+            self.levels.append(np.insert(large, k[more], small[more]))
         return first + strings
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", key_col: str = "key") -> DataFrame:
-    """(key, spans) of the rows that hold a string of ``length`` bytes that starts elsewhere too.
+def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+    """(k1, k2, spans) of the rows that hold a string of ``length`` bytes that starts elsewhere too.
 
-    ``docs`` has a long ``key_col`` that is equal for equal texts only. Steps: anchors of each text, chosen by
-    content, are shuffled as hashes; where an anchor has company, the same whole context elsewhere decides for all
-    its strings, and other contexts are sent to the anchor's task, which compares all their strings in the suffix
-    arrays. A batch of texts decides for anchors that it holds several times and hands on ``REPS`` of them, so one
-    passage in very many documents does not load one task.
+    ``docs`` has a text, a long k1 and an int k2 that are equal for the same row only. Steps: anchors of each text, chosen by
+    content, are shuffled as hashes; where an anchor has company, the same whole context elsewhere (128 bits in
+    hashes of the anchor and of the context) decides for all its strings, and other contexts are sent to the
+    anchor's task, which compares all their strings in the suffix arrays. A batch of texts decides for anchors that
+    it holds several times and hands on ``REPS`` of them, so one passage in very many documents does not load one
+    task. Contexts of an anchor with more than ``HOT`` are dealt anew by what stands around it.
     """
     spark = docs.sparkSession
     wide = shuffle_width(spark)
-    texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
+    texts = docs.select("k1", "k2", "text")
 
     def find(reader):
         for batch in kernels.batches(reader, "text", 2 << 20):
@@ -186,21 +227,22 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", k
             rank = np.cumsum(new_g)  # of the context within its anchor
             rank = rank - rank[np.maximum.accumulate(np.where(new_h, np.arange(n), 0))] if n else rank
             sent = new_g & (rank < REPS)
-            keys = batch.column("key").to_numpy()[doc]
-            state = (2 * full + (several & new_g)).astype(np.int8)
-            deal = np.where(sent, h, _mix(keys.view(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(g.view(np.int64)), pa.array(sent), pa.array(keys), pa.array(at - offsets[doc]), pa.array(state)], ["deal", "g", "sent", "key", "pos", "state"])
+            k1, k2 = batch.column("k1").to_numpy()[doc], batch.column("k2").to_numpy()[doc].astype(np.int64)
+            state = (2 * full + (several & new_g)).astype(np.int64)
+            deal = np.where(sent, h, _mix(k1.view(np.uint64))).view(np.int64)
+            place = _packed(k2, at - offsets[doc], state)
+            yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(g.view(np.int64)), pa.array(sent), pa.array(k1), pa.array(place)], ["deal", "g", "sent", "k1", "place"])
 
-    found = texts.mapInArrow(find, "deal long, g long, sent boolean, key long, pos long, state byte")
+    found = texts.mapInArrow(find, "deal long, g long, sent boolean, k1 long, place long")
     found = found.repartition(wide, "deal").sortWithinPartitions("sent", "deal", "g")
 
     def decide(reader):
-        """Rows with company: ``full`` if the same context is elsewhere; ``ship`` for one row of each of several contexts."""
+        """Rows with company; state tells ``full`` (2) if the same context is elsewhere, ``ship`` (1) for one row of each of several contexts."""
         held = last = None  # the row that waits for its next one; the first row of its anchor and the row before it
-        for batch in reader:
+        for batch in kernels.lean(reader):
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("deal", "g", "sent", "key", "pos", "state")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("deal", "g", "sent", "k1", "place")]
             cols = cols if held is None else [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
             out, last = _decided(cols, last, False)
             yield out
@@ -208,17 +250,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", k
         if held is not None:
             yield _decided(held, last, True)[0]
 
-    candidates = found.mapInArrow(decide, "key long, pos long, full boolean, ship boolean")
-    places = candidates.groupBy("key").agg(F.collect_set(F.struct("pos", "full", "ship")).alias("places"))
+    candidates = found.mapInArrow(decide, "k1 long, k2 int, place long")
+    places = candidates.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
 
     def cut(reader):
         for batch in kernels.batches(reader, "text", 4 << 20):
             raw, offsets = kernels.as_bytes(batch.column("text"))
-            keys = batch.column("key").to_numpy()
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             lists = batch.column("places")
-            flat = lists.flatten()
-            pos, full, ship = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "full", "ship"))
-            doc = np.repeat(np.arange(len(keys)), np.diff(lists.offsets.to_numpy()))
+            pos, state = _unpacked(lists.flatten().to_numpy())[1:]
+            doc = np.repeat(np.arange(len(k1)), np.diff(lists.offsets.to_numpy()))
+            order = np.lexsort((pos, doc))
+            doc, pos, state = doc[order], pos[order], state[order]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])])) if len(doc) else np.zeros(0, int)
+            doc, pos, state = doc[new], pos[new], np.bitwise_or.reduceat(state, new) if len(new) else state
+            full, ship = state >= 2, state % 2 == 1
             start = np.maximum(offsets[doc], offsets[doc] + pos - (length - ANCHOR))
             end = np.minimum(offsets[doc + 1], offsets[doc] + pos + length)
             covered = np.zeros(len(raw) + 1, np.int32)
@@ -233,18 +279,30 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", k
             owner = np.searchsorted(offsets, a, side="right") - 1
             exact = Rolling(raw).spans(offsets[doc[part]] + pos[part], offsets[doc[part]] + pos[part] + ANCHOR) if len(part) else np.zeros(0, np.uint64)
             text = raw.tobytes()
+            both = np.concatenate([owner, doc[part]])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([keys[owner], keys[doc[part]]])),
+                    pa.array(k1[both]),
+                    pa.array(k2[both]),
                     pa.array(np.concatenate([a - offsets[owner], start[part] - offsets[doc[part]]])),
                     pa.array(np.concatenate([b - offsets[owner], end[part] - offsets[doc[part]]])),
                     pa.array(np.concatenate([np.zeros(len(a), np.int64), exact.view(np.int64)])),
+                    pa.array(np.concatenate([np.zeros(len(a), np.int32), (offsets[doc[part]] + pos[part] - start[part]).astype(np.int32)])),
                     pa.array([None] * len(a) + [text[x:y] for x, y in zip(start[part].tolist(), end[part].tolist(), strict=True)], pa.binary()),
                 ],
-                ["key", "start", "end", "anchor", "context"],
+                ["k1", "k2", "start", "end", "anchor", "inset", "context"],
             )
 
-    cuts = materialize(texts.join(places, "key").select("key", "text", "places").mapInArrow(cut, "key long, start long, end long, anchor long, context binary"), "contexts")
+    cuts = materialize(texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(cut, "k1 long, k2 int, start long, end long, anchor long, inset int, context binary"), "contexts")
+    contexts = cuts.where("context is not null").select("anchor", "k1", "k2", "start", "inset", "context")
+    matched = _matched(contexts, length)
+    spans = cuts.where("context is null").select("k1", "k2", "start", "end").union(matched)
+    return spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+
+def _matched(contexts: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, start, end) of what repeats within the contexts of an anchor."""
+    wide = shuffle_width(contexts.sparkSession)
 
     def match(reader):
         for group in _batched(runs(reader, ["anchor"])):
@@ -255,7 +313,6 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", k
                 raw, offsets = kernels.as_bytes(group.column("context").slice(k, BATCH))
                 firsts.append(levels.add(raw, offsets))
             starts = np.concatenate([f[:-1] for f in firsts])
-            keys = group.column("key").to_numpy()
             hits = np.flatnonzero(levels.repeated)
             if not len(hits):
                 continue
@@ -263,12 +320,70 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", k
             new = np.concatenate([[True], (np.diff(hits) != 1) | (np.diff(owner) != 0)])
             close = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hits) - 1]])
             own = owner[new]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(begins[own] + hits[new] - starts[own]), pa.array(begins[own] + hits[close] - starts[own] + length)], ["key", "start", "end"])
+            a = begins[own] + hits[new] - starts[own]
+            b = begins[own] + hits[close] - starts[own] + length
+            yield pa.RecordBatch.from_arrays([*(pa.array(group.column(c).to_numpy()[own]) for c in ("k1", "k2")), pa.array(a), pa.array(b)], ["k1", "k2", "start", "end"])
+
+    def part(reader):
+        """The strings over an anchor in ``PARTS``; the key of a part is all that its strings have in common."""
+        step = -(-(length - ANCHOR + 1) // PARTS)
+        for batch in kernels.lean(reader):
+            inset = batch.column("inset").to_numpy()
+            rows, keys, starts, texts = [], [], [], []
+            for i, (text, at, anchor) in enumerate(zip(batch.column("context").to_pylist(), inset.tolist(), batch.column("anchor").to_pylist(), strict=True)):
+                for p in range(PARTS):
+                    # strings that begin from ``most`` to ``least`` bytes before the anchor
+                    least, most = p * step, min((p + 1) * step, length - ANCHOR + 1) - 1
+                    least_at, most_at = at - min(most, at), min(at - least, len(text) - length)
+                    if most_at < least_at:
+                        continue  # no such string in this context
+                    core = text[at - least : at - most + length]
+                    keys.append(hashlib.blake2b(core, digest_size=8, key=anchor.to_bytes(8, "little", signed=True), person=bytes([p])).digest())
+                    rows.append(i)
+                    starts.append(least_at)
+                    texts.append(text[least_at : most_at + length])
+            chosen = pa.array(rows, pa.int64())
+            k = np.frombuffer(b"".join(keys), np.int64)
+            start = batch.column("start").to_numpy()[rows] + np.array(starts, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), *(batch.column(c).take(chosen) for c in ("k1", "k2")), pa.array(start), pa.array(texts, pa.binary())], ["anchor", "k1", "k2", "start", "context"])
+
+    def single(reader):
+        """Each string of ``length`` bytes by itself, as a digest."""
+        for batch in kernels.lean(reader):
+            rows, keys, starts = [], [], []
+            for i, text in enumerate(batch.column("context").to_pylist()):
+                for k in range(len(text) - length + 1):
+                    rows.append(i)
+                    starts.append(k)
+                    keys.append(hashlib.blake2b(text[k : k + length], digest_size=16).digest())
+            chosen = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(batch.column(c).take(chosen) for c in ("k1", "k2")), pa.array(batch.column("start").to_numpy()[rows] + np.array(starts, np.int64))], ["digest", "k1", "k2", "start"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.select("anchor", "k1", "k2", "start", "context")
+        return rows.repartition(wide, "anchor").sortWithinPartitions("anchor").mapInArrow(match, "k1 long, k2 int, start long, end long")
+
+    crowd = lambda rows, least, name: materialize(rows.groupBy("anchor").count().where(F.col("count") >= least).select("anchor", (F.col("count") > HOT).alias("hot")), name)
+    hot = crowd(contexts, HOT + 1, "hot-anchors").select("anchor")
+    out = dealt(contexts.join(hot, "anchor", "left_anti"))
+    if hot.isEmpty():
+        return out
+    anew = materialize(contexts.join(hot, "anchor").mapInArrow(part, "anchor long, k1 long, k2 int, start long, context binary"), "parts")
+    again = crowd(anew, 2, "hot-parts")
+    with_company = anew.join(again, "anchor")
+    ones = with_company.where("hot").select("k1", "k2", "start", "context").mapInArrow(single, "digest binary, k1 long, k2 int, start long")
+    twice = ones.groupBy("digest").agg(F.countDistinct("k1", "k2", "start").alias("n")).where("n > 1").select("digest")
+    alone = ones.join(twice, "digest", "left_semi").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
+    return out.union(dealt(with_company.where("not hot"))).union(alone)
+
+
+def _packed(k2: np.ndarray, pos: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """30 bits of the key, the place of the anchor in its text, and its state, in one number."""
+    return k2 << 33 | pos << 2 | state
+
 
-    contexts = cuts.where("context is not null").select("anchor", "key", "start", "context")
-    matched = contexts.repartition(wide, "anchor").sortWithinPartitions("anchor").mapInArrow(match, "key long, start long, end long")
-    spans = cuts.where("context is null").select("key", "start", "end").union(matched)
-    return spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 33, place >> 2 & ((1 << 31) - 1), place & 3
 
 
 def _decided(cols: list[np.ndarray], last: tuple | None, final: bool) -> tuple[pa.RecordBatch, tuple]:
@@ -276,7 +391,8 @@ def _decided(cols: list[np.ndarray], last: tuple | None, final: bool) -> tuple[p
 
     ``last`` is (row before the first one here, first row of its anchor).
     """
-    deal, g, sent, key, pos, state = cols
+    deal, g, sent, key, place = cols
+    second, pos, state = _unpacked(place)
     n = len(deal)
     same, twin = np.zeros(n + 1, bool), np.zeros(n + 1, bool)  # as the row before
     same[1:n] = (deal[1:] == deal[:-1]) & sent[1:] & sent[:-1]
@@ -287,38 +403,40 @@ def _decided(cols: list[np.ndarray], last: tuple | None, final: bool) -> tuple[p
         twin[0] = same[0] and before[1] == g[0]
     full = (state >= 2) | twin[:-1] | twin[1:]
     other = same[:-1] & ~twin[:-1]  # another context of the same anchor begins
-    ship = np.where(sent, other | (state % 2 == 1), state % 2 == 1)
-    # non-sent rows are decided by their batch: each but the copies of a context is shipped
-    keep = full | ship | same[:-1] | same[1:]
+    ship = (sent & other) | (state % 2 == 1)
+    # rows that aren't sent are decided by their batch
+    keep = full | ship
     first = np.maximum.accumulate(np.where(~same[:-1], np.arange(n), -1))
     lead = first[other]  # -1: before this batch
-    more_key = [key[i] if i >= 0 else last[1][3] for i in lead.tolist()]
-    more_pos = [pos[i] if i >= 0 else last[1][4] for i in lead.tolist()]
+    leads = [(key[i], place[i]) if i >= 0 else last[1][3:] for i in lead.tolist()]
     if not final:
         keep[-1] = False
     head = tuple(c[first[-2]] if first[-2] >= 0 else last[1][k] for k, c in enumerate(cols)) if n > 1 else (last[1] if last is not None else None)
     after = (tuple(c[-2] for c in cols), head) if n > 1 else last
-    k = len(lead)
+    lead_second, lead_pos, _ = _unpacked(np.array([x[1] for x in leads], np.int64))
+    now = 2 * full + ship
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([key[keep], np.array(more_key, np.int64)])),
-            pa.array(np.concatenate([pos[keep], np.array(more_pos, np.int64)])),
-            pa.array(np.concatenate([full[keep], np.zeros(k, bool)])),
-            pa.array(np.concatenate([ship[keep], np.ones(k, bool)])),
+            pa.array(np.concatenate([key[keep], np.array([x[0] for x in leads], np.int64)])),
+            pa.array(np.concatenate([second[keep], lead_second]).astype(np.int32)),
+            pa.array(np.concatenate([_packed(second[keep], pos[keep], now[keep]), _packed(lead_second, lead_pos, 1)])),
         ],
-        ["key", "pos", "full", "ship"],
+        ["k1", "k2", "place"],
     ), after
 
 
 def _once(group: pa.Table, length: int) -> tuple[pa.Table, np.ndarray]:
     """Contexts in the order of texts and places, without strings that the context before holds at the same place."""
     size = np.diff(kernels.as_bytes(group.column("context"))[1])
-    order = np.lexsort((size, group.column("start").to_numpy(), group.column("key").to_numpy()))
+    order = np.lexsort((size, *(group.column(c).to_numpy() for c in ("start", "k2", "k1"))))
     group = group.take(pa.array(order)).combine_chunks()
-    key, start = group.column("key").to_numpy(), group.column("start").to_numpy()
+    k1, k2, start = (group.column(c).to_numpy() for c in ("k1", "k2", "start"))
     last = start + size[order] - length
+    # the furthest string of this text so far
+    text = np.cumsum(np.concatenate([[False], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+    reach = np.maximum.accumulate(last + text * (1 << 32)) - text * (1 << 32)
     begin = start.copy()
-    begin[1:] = np.where(key[1:] == key[:-1], np.maximum(start[1:], last[:-1] + 1), start[1:])
+    begin[1:] = np.where(text[1:] == text[:-1], np.maximum(start[1:], reach[:-1] + 1), start[1:])
     keep = begin <= last
     if keep.all() and (begin == start).all():
         return group, begin
@@ -354,10 +472,13 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    spans = repeated_spans(keyed.select(F.col("__key").alias("key"), F.col(text_col).alias("text")), length)
-    return keyed.join(spans.withColumnsRenamed({"key": "__key", "spans": "__spans"}), "__key", "left").drop("__key")
+def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` with one more column, the spans that go (null: none), and its name."""
+    a, b, spans = free_names(docs, "k1", "k2", "spans")
+    k1, k2 = row_key(id_col, text_col)
+    keyed = docs.withColumns({a: k1, b: F.shiftrightunsigned(k2, 34).cast("int")})
+    found = repeated_spans(keyed.select(F.col(a).alias("k1"), F.col(b).alias("k2"), F.col(text_col).alias("text")), length)
+    return keyed.join(found.withColumnsRenamed({"k1": a, "k2": b, "spans": spans}), [a, b], "left").drop(a, b), spans
 
 
 def digest_kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,12 +488,12 @@ def digest_kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
     included. Null is the empty text; texts below ``length`` bytes keep all. Repeated rows are copies of each
     other; a null id stays null. An empty table gives no rows; other columns are ignored.
     """
-    rows = _with_spans(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), length, "id", "text")
+    rows, column = _with_spans(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), length, "id", "text")
 
     def run(reader):
         for batch in kernels.batches(reader, "text", 4 << 20):
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 gone = _merged(spans or [])
                 digest, at = hashlib.sha256(), 0
@@ -383,7 +504,7 @@ def digest_kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
                 out.append((len(raw), sum(b - a for a, b in gone), len(gone), digest.hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c)) for c in zip(*out, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = rows.select("id", "text", "__spans").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = rows.select("id", "text", F.col(column).alias("spans")).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -392,7 +513,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     Texts without repeats, nulls among them, and all other columns stay as they are.
     """
-    rows = _with_spans(docs, length, id_col, text_col)
+    rows, spans = _with_spans(docs, length, id_col, text_col)
 
     @F.pandas_udf(T.StringType())
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -413,7 +534,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         return pd.Series(out)
 
     text = F.col(text_col)
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(kept(text, F.col("__spans")))).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(kept(text, F.col(spans)))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
