@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from tidewire.llm.bpe import encode_batches
 from tidewire.llm.session import materialize, shuffle_width, table
 
-#: Encoded chunks that a worker keeps (up to twice as many) where packing has the executor for itself: about 0.4 GB.
-QUERY_CHUNKS = 800_000
-
 
 def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Best-two-fit over a histogram of lengths; counts[s] pieces have length s.
@@ -93,11 +90,11 @@ def _plan(counts: np.ndarray, capacity: int, most_left: int) -> tuple[int, list[
     return first_bin, slots
 
 
-def token_pieces(docs: DataFrame, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, kept_chunks: int | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32): documents as ids with ``end_id`` behind, longer ones cut at ``capacity``."""
 
     def run(reader):
-        for batch, _, ids, offsets in encode_batches(reader, "text", vocabulary, kept_chunks):
+        for batch, _, ids, offsets in encode_batches(reader, "text", vocabulary):
             n = batch.num_rows
             whole = np.insert(ids, offsets[1:], end_id).astype("<u4")
             first = offsets + np.arange(n + 1)
@@ -114,17 +111,17 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int = 0, id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, kept_chunks: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id and offset.
 
     Every document ends with id 0, so a null or empty text is a piece of one token. Only the histogram of lengths,
     at most ``capacity`` numbers, comes to the driver; ranks within a length are counted over salted groups, so one
-    very common length is shared by many tasks. ``kept_chunks`` trades a worker's memory for speed. Repeated rows are packed as often as they stand; a null id stays
-    null. An empty table gives no rows; other columns are ignored.
+    very common length is shared by many tasks. Repeated rows are packed as often as they stand; a null id stays null.
+    An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     salts = shuffle_width(spark)
-    pieces = token_pieces(docs, capacity, 0, id_col, text_col, vocabulary, kept_chunks).withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), salts).cast("int"))
+    pieces = token_pieces(docs, capacity, 0, id_col, text_col, vocabulary).withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), salts).cast("int"))
     pieces = materialize(pieces, "pieces")
     groups = pieces.groupBy("length", "salt").count()
     counts = np.zeros(capacity + 1, np.int64)
@@ -152,4 +149,4 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: packs all documents into sequences of 2048 tokens."""
-    return pack_documents(table(spark, sf_dir, "documents"), kept_chunks=QUERY_CHUNKS)
+    return pack_documents(table(spark, sf_dir, "documents"))
