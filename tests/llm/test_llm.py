@@ -402,33 +402,48 @@ def test_escapes():
         assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
 
 
-def test_audit_finds_damage_only(spark):
-    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * 5) for i in range(300)] + [(None, None, None), (7, "http://h/7", "<p>7</p>" * 5)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    records = warc.warc_records(pages)
-    n = warc.segment_count(pages, 64)
-    good = warc.manifest(records, n)
-    assert warc.audit(good, good).count() == 0
-    bad = records.withColumn("record", F.when(F.col("page_id").isin(5, 77), F.concat(F.lit(b"W"), F.expr("substring(record, 2, octet_length(record) - 2)"), F.lit(b"?"))).otherwise(F.col("record")))
-    found = warc.audit(good, warc.manifest(bad, n)).join(good, ["segment", "idx"]).collect()
-    assert {(x.page_id, x.status) for x in found} == {(5, "corrupt"), (77, "corrupt")}
-    assert warc.audit_pages(pages).count() == len(rows)
-    assert warc.audit_pages(pages.limit(0)).count() == 0
+def _audited(pages, change, depth=2):
+    """Statuses of an audit of ``pages`` against a replica that ``change`` makes of the stored records."""
+    replica = warc.stored(warc.warc_records(pages), depth)
+    found = warc.audit(warc.manifest(replica, depth), warc.manifest(change(replica), depth), depth)
+    return sorted(((x.page_id, x.url, x.status) for x in found.collect()), key=str)
 
 
-def test_audit_names_lost_and_added_records(spark):
-    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * 5) for i in range(200)] + [(None, None, None)]
+def test_audit_names_what_differs_and_nothing_else(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * 5) for i in range(300)] + [(None, None, None), (7, "http://h/7", "<p>7</p>" * 5), (7, "http://h/7", "other bytes")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    more = spark.createDataFrame([(500, "http://h/500", "new")], pages.schema)
-    left = warc.manifest(warc.warc_records(pages), 1)
-    right = warc.manifest(warc.warc_records(pages.where("page_id is null or page_id not in (3, 120)").union(more)), 1)
-    found = warc.audit(left, right)
-    lost = found.where("status <> 'added'").join(left, ["segment", "idx"]).collect()
-    assert {x.page_id for x in lost if x.status == "missing"} == {3, 120}
-    assert not [x for x in lost if x.status == "corrupt"]
-    assert {x.page_id for x in lost if x.status == "moved"} == set(range(4, 200)) - {120}
-    new = found.where("status = 'added'").join(right, ["segment", "idx"]).collect()
-    assert [x.page_id for x in new] == [500]
+    assert _audited(pages, lambda r: r) == []
+    assert _audited(pages, lambda r: r.where("page_id <> 120 or page_id is null")) == [(120, "http://h/120", "missing")]
+    extra = warc.stored(warc.warc_records(spark.createDataFrame([(500, "http://h/500", "new"), (7, "http://h/7", "new")], pages.schema)), 2)
+    assert _audited(pages, lambda r: r.union(extra)) == [(500, "http://h/500", "added"), (7, "http://h/7", "added")]
+    bad = lambda r: r.withColumn("record", F.when(F.col("page_id").isin(5, 77), F.concat(F.lit(b"W"), F.expr("substring(record, 2, octet_length(record) - 2)"), F.lit(b"?"))).otherwise(F.col("record")))
+    assert _audited(pages, bad) == [(5, "http://h/5", "corrupt"), (77, "http://h/77", "corrupt")]
+    moved = lambda r: r.withColumn("segment", F.when(F.col("page_id").isin(9, 10), "zz").otherwise(F.col("segment")))
+    assert _audited(pages, moved) == [(10, "http://h/10", "moved"), (9, "http://h/9", "moved")]
+    # of two copies one is lost; of three records under a name another one is changed
+    assert _audited(pages, lambda r: r.dropDuplicates()) == [(7, "http://h/7", "missing")]
+    both = lambda r: bad(moved(r.where("page_id <> 120 or page_id is null"))).union(extra)
+    assert [x[2] for x in _audited(pages, both)] == ["moved", "missing", "corrupt", "added", "added", "corrupt", "moved"]
+
+
+def test_audit_compares_roots_and_descends(spark):
+    pages = spark.range(400).selectExpr("id as page_id", "concat('u', id) as url", "repeat('x', 50) as html")
+    replica = warc.stored(warc.warc_records(pages), 3)
+    one, other = (warc.tree(warc.manifest(r, 3), 3) for r in (replica, replica.where("page_id <> 33")))
+    assert [t.count() for t in one][:2] == [1, 16]
+    differ = [a.join(b, "node", "full").where(~a.digest.eqNullSafe(b.digest)).count() for a, b in zip(one, other, strict=True)]
+    assert differ == [1, 1, 1, 1]
+    assert warc.bad_leaves(one, other).count() == 1 and warc.bad_leaves(one, one).count() == 0
+
+
+def test_audit_edges(spark):
+    rows = [(i, f"http://h/{i}", "x" * (i % 7)) for i in range(600)] + [(None, None, None)] * 3 + [(1, "http://h/1", None), (2, "", "é" * 100_000)]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, digest int, copies int")
+    out = warc.audit_pages(pages).collect()
+    assert sum(x.status != "added" for x in out) == len(rows)
+    assert {x.status for x in out} <= {"ok", "corrupt", "missing", "moved", "added"}
+    assert warc.audit_pages(pages.limit(0)).count() == 0
+    assert warc.depth_for(0) == 1 and warc.depth_for(513) == 2
 
 
 def test_toxicity_held_out(spark):
