@@ -372,7 +372,9 @@ def _matched(contexts: DataFrame, length: int) -> DataFrame:
     again = crowd(anew, 2, "hot-parts")
     with_company = anew.join(again, "anchor")
     ones = with_company.where("hot").select("k1", "k2", "start", "context").mapInArrow(single, "digest binary, k1 long, k2 int, start long")
-    twice = ones.groupBy("digest").agg(F.countDistinct("k1", "k2", "start").alias("n")).where("n > 1").select("digest")
+    ones = materialize(ones, "single-strings")
+    # written, so that the planner can split the rows of a very common one
+    twice = materialize(ones.distinct().groupBy("digest").count().where("count > 1").select("digest"), "repeated-strings")
     alone = ones.join(twice, "digest", "left_semi").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
     return out.union(dealt(with_company.where("not hot"))).union(alone)
 
