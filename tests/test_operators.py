@@ -58,10 +58,23 @@ def test_incident_words(spark):
 
 def test_shell_and_material(spark):
     assert one(spark, text.is_shell(F.lit("页面不存在"))) is True
-    assert one(spark, text.is_shell(F.lit("页面不存在\n" + "long words in a line that is long enough to be read " * 8))) is False
+    long = "long words in a line that is long enough to be read " * 8
+    assert one(spark, text.is_shell(F.lit("页面不存在\n" + long))) is True  # a strong marker decides alone
+    assert one(spark, text.is_shell(F.lit("404 not found\n" + long))) is True
+    assert one(spark, text.is_shell(F.lit("环境异常\n" + long))) is True
+    assert one(spark, text.is_shell(F.lit(long + "环境异常" + long))) is False  # a weak one only on a short line
+    assert one(spark, text.is_shell(F.lit(long))) is False
+    assert one(spark, text.is_shell(F.lit(" \u3000\n"))) is True
+    assert one(spark, text.is_shell(F.lit(None).cast("string"))) is True
+    assert one(spark, text.is_shell(F.lit("扫码关注我们\n" * 60 + "short text"))) is True  # navigation is not read
+    assert one(spark, text.is_shell(F.lit("short lines\n" * 60))) is False
     assert one(spark, text.pick_material(F.lit("x" * 250), F.lit(""), F.lit("t"))["from"]) == "content"
     assert one(spark, text.pick_material(F.lit("x"), F.lit("y" * 350), F.lit("t"))["from"]) == "snippet"
     assert one(spark, text.pick_material(F.lit("x"), F.lit("title" + "y" * 220), F.lit("title"))) is None
+    assert one(spark, text.pick_material(F.lit("x"), F.lit("y" * 220 + "title"), F.lit("title"))) is None
+    assert one(spark, text.pick_material(F.lit("x"), F.lit("y" * 220), F.lit("y" * 300))) is None
+    assert one(spark, text.pick_material(F.lit("x"), F.lit("title" + "y" * 320), F.lit("title")))["from"] == "snippet"
+    assert one(spark, text.pick_material(F.lit("x"), F.lit("y" * 350), F.lit("y" * 350))) is None
 
 
 def test_spread_and_sub_scores(spark):
@@ -108,7 +121,86 @@ def test_replacements_stop_at_first_failure(spark):
 
 def test_featured_budget_in_list_order(spark):
     rows = spark.createDataFrame([("d", i, s, i) for i, s in enumerate([81, 79, 90, 99])], "date_key string, id long, ai_score long, ord long")
-    assert [r.id for r in select.mark_featured(rows, budget=2).where("featured = 1").orderBy("id").collect()] == [0, 2]
+    assert [r.id for r in select.mark_featured(rows, budget=2, first_share=1.0).where("featured = 1").orderBy("id").collect()] == [0, 2]
+    assert [r.id for r in select.mark_featured(rows).where("featured = 1").collect()] == [0]  # a quarter, one at least
+
+
+def test_featured_in_later_rounds(spark):
+    data = [("d", 1, 90, 1, "a", "retro", "2024-01-30 20:00:00"), ("d", 2, 88, 2, "突发 news", "new", None), ("d", 3, 86, 3, "b", "new", "2024-01-30 20:00:00"), ("d", 4, 95, 4, "c", "new", "2024-01-30 20:00:00"), ("d", 5, 99, 5, "e", "new", "2024-01-29 20:00:00"), ("d", 6, 84, 6, "f", "new", "2024-01-30 20:00:00")]
+    rows = spark.createDataFrame(data, "date_key string, id long, ai_score long, ord long, title string, newsness string, published_at string")
+    context = spark.createDataFrame([("d", 9, 4, 85)], "date_key string, existing_count long, existing_featured long, featured_min_score long")
+    got = {r.id: (r.featured, r.breaking) for r in select.mark_featured(rows, context, now="2024-01-31 00:00:00").collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (0, 1), 5: (0, 0), 6: (0, 0)}
+
+
+def _by_hand(rows, stored):
+    """The day's selection, one row after the other."""
+    rows = sorted(rows, key=lambda r: (-r["ai_score"], r["id"]))
+    policy = [r for r in rows if r["source_type"] == "official" and r["category"] == "policy" and r["ai_score"] >= 70][:2]
+    incidents = [r for r in rows if r["suspected"] and r["ai_score"] >= 56 and r not in policy][:3]
+    out = {r["id"]: ("policy", None) for r in policy} | {r["id"]: ("incident", None) for r in incidents}
+    pool = [r for r in rows if r["id"] not in out]
+    room = max(0, 20 - len(stored))
+    if not room:
+        victims = sorted((v for v in stored if v["category"] != "policy" and v["is_featured"] != 1), key=lambda v: (v["ai_score"], v["id"]))
+        used = []
+        for c in pool:
+            free = [v for v in victims if v["id"] not in used and v["ai_score"] < c["ai_score"]]
+            if len(used) < 5 and free:
+                used.append(free[0]["id"])
+                out[c["id"]] = ("replace", free[0]["id"])
+        return out | {r["id"]: ("breaking", None) for r in [r for r in pool if r["ai_score"] >= 85 and r["id"] not in out][:2]}
+    least = 70 if len(stored) >= 10 else 65
+    chosen = [r for r in pool if r["ai_score"] >= least][:room]
+    fill = [r for r in pool if 56 <= r["ai_score"] < least][: max(0, min(10 - len(stored) - len(chosen), 5))]
+    return out | {r["id"]: ("regular", None) for r in chosen} | {r["id"]: ("backfill", None) for r in fill}
+
+
+def test_quota_against_one_row_after_the_other(spark):
+    import random
+
+    r = random.Random(9)
+    make = lambda day, i: {"id": i, "date_key": day, "ai_score": r.choice([40, 55, 56, 60, 64, 65, 69, 70, 75, 84, 85, 86, 95]), "category": r.choice(["policy", "company", "infra"]), "source_type": r.choice(["official", "media"]), "suspected": r.random() < 0.15, "is_featured": int(r.random() < 0.2)}
+    kind = "id long, date_key string, ai_score long, category string, source_type string, suspected boolean, is_featured int"
+    days = {f"d{k}": ([make(f"d{k}", 1000 * k + i) for i in range(r.choice([0, 3, 12, 40]))], [make(f"d{k}", 1000 * k + 500 + i) for i in range(n)]) for k, n in enumerate([0, 0, 2, 5, 9, 10, 14, 19, 20, 20, 25, 30])}
+    new = spark.createDataFrame([x for a, _ in days.values() for x in a], kind)
+    stored = spark.createDataFrame([x for _, b in days.values() for x in b], kind)
+    got = {x.id: (x.channel, x.victim) for x in select.quota(new, stored).collect()}
+    assert got == {i: x for a, b in days.values() for i, x in _by_hand(a, b).items()}
+
+
+def test_policy_floor_counts_stored_rows_and_urls(spark):
+    kind = "id long, date_key string, ai_score long, category string, source_url string"
+    rows = spark.createDataFrame([(1, "d", 60, "policy", "u1"), (2, "d", 58, "policy", "u2"), (3, "d", 57, "policy", ""), (4, "e", 90, "policy", "u4"), (5, "f", 55, "policy", "u5")], kind)
+    selected = spark.createDataFrame([(9, "d", 80, "company", "u1"), (8, "e", 80, "policy", "u8")], kind)
+    full = spark.createDataFrame([("e", i) for i in range(19)], "date_key string, id long")
+    assert sorted(x.id for x in select.policy_floor(rows, selected, full).collect()) == [2, 3]
+    assert sorted(x.id for x in select.policy_floor(rows, selected).collect()) == [2, 3, 4]
+
+
+def test_related_against_brute_force(spark):
+    import math
+    import random
+
+    r = random.Random(10)
+    tag = lambda letter, n, most: [f"{letter}{r.randrange(n)}" for _ in range(r.randrange(most + 1))]
+    rows = [(i, f"2024-01-{r.randrange(1, 29):02d}" if r.random() < 0.95 else "unknown", r.choice(["company", "noise", "infra", "infra"]), r.choice(["", f"e{r.randrange(12)}"]), tag("c", 6, 3), tag("P", 4, 2), [*tag("k", 9, 3), "AI"]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, date_key string, category string, event_norm string, companies array<string>, people array<string>, keywords array<string>")
+    norm = lambda vs: {v.strip().lower() for v in vs} - {"ai", ""}
+    kept = [(i, int(d[-2:]), e, norm(c + p), norm(k)) for i, d, cat, e, c, p, k in rows if cat != "noise" and d != "unknown"]
+    want = set()
+    for i, day, event, subj, topic in kept:
+        cands = [x for x in kept if day - 30 <= x[1] < day]
+        df_of = lambda v: sum(v in x[3] | x[4] for x in cands)  # noqa: B023, E731
+        idf = {v: math.log((len(cands) + 1) / (df_of(v) + 1)) + 0.3 for v in subj | topic}
+        found = []
+        for j, d2, e2, s2, t2 in cands:
+            s, t = subj & s2, topic & t2
+            kind = 0 if event and e2 == event else 1 if s and t else 2 if len(t) >= 2 else None
+            if kind is not None:
+                found.append((kind, -round(sum(2 * idf[v] for v in t) + sum(idf[v] for v in s), 6), -d2, j))
+        want |= {(i, f[3], f[0], n + 1) for n, f in enumerate(sorted(found)[:3])}
+    assert {tuple(x) for x in feeds.related(df).collect()} == want
 
 
 def test_leaders_are_not_transitive(spark):
@@ -257,8 +349,8 @@ def test_whole_queries_cover_every_event(spark):
 
     sf = "/root/testdata/sf0.01"
     ids = {x[0] for x in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
-    got = {n: [x[0] for x in catalog.QUERIES[f"{n}_whole"](spark, sf).collect()] for n in ("J09_valid_pairs", "D05_group_merge", "S30_probe_items", "W07_featured", "F45_spread", "J16_not_in_store")}
-    for n in ("J09_valid_pairs", "S30_probe_items", "W07_featured", "F45_spread"):
+    got = {n: [x[0] for x in catalog.QUERIES[n](spark, sf).collect()] for n in ("J09_valid_pairs", "D05_group_merge", "S30_probe_items", "F45_spread", "J16_not_in_store")}
+    for n in ("J09_valid_pairs", "S30_probe_items", "F45_spread"):
         assert sorted(got[n]) == sorted(ids), n
     assert sorted(i // 4 for i in got["D05_group_merge"]) == sorted({i // 4 for i in ids})
     assert 0 < len(got["J16_not_in_store"]) <= sum(i % 10 == 0 for i in ids)

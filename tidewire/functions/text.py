@@ -108,22 +108,39 @@ def grounded(assertion: Column, body: Column, stopwords: list[str]) -> Column:
     return F.transform(F.array(seen), lambda b: F.forall(hard_tokens(assertion, stopwords), lambda t: F.instr(b, t) > 0))[0]
 
 
-def is_shell(text: Column) -> Column:
-    """A page shell: a strong marker, a weak one on a short line, or an HTTP error text, with little else to read."""
-    strong = any_of([F.contains(text, F.lit(m)) for m in values.SHELL_STRONG])
-    lines = F.split(text, "\n")
-    weak = F.exists(lines, lambda x: (F.length(F.trim(x)) <= values.SHELL_LINE) & any_of([F.contains(x, F.lit(m)) for m in values.SHELL_WEAK]))
-    http = any_of([text.rlike(p) for p in values.SHELL_PATTERNS])
-    readable = F.length(F.array_join(F.filter(lines, lambda x: F.length(F.trim(x)) > values.SHELL_LINE), ""))
-    return F.coalesce((strong | weak | http) & (readable < 200), F.lit(False))
-
-
-def pick_material(content: Column, snippet: Column, title: Column, least: int = 200) -> Column:
-    """(from, text) of what a summary may be made of: the content, else a snippet that is no copy of the title."""
-    fits = lambda c: (F.length(c) >= least) & ~is_shell(c)
-    placeholder = (squash(snippet) == squash(title)) | (F.length(snippet) < 300) & F.startswith(squash(snippet), squash(title))
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+
+
+def readable(text: Column) -> Column:
+    """The lines that are neither blank nor short navigation."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip)
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~((F.length(x) <= values.NAVIGATION_LINE) & x.rlike(values.NAVIGATION))), "\n")
+
+
+def is_shell(text: Column, least: int = values.LEAST_MATERIAL) -> Column:
+    """A page shell: blank, an HTTP error text, a strong marker anywhere, a weak one on a short line, or too little to read.
+
+    Each of them decides alone.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    strong = any_of([F.contains(whole, F.lit(m)) for m in values.SHELL_STRONG])
+    weak = F.exists(F.split(whole, "\n"), lambda x: (F.length(strip(x)) <= values.SHELL_LINE) & any_of([F.contains(x, F.lit(m)) for m in values.SHELL_WEAK]))
+    return (strip(whole) == "") | any_of([whole.rlike(p) for p in values.SHELL_PATTERNS]) | strong | weak | (F.length(readable(whole)) < least)
+
+
+def pick_material(content: Column, snippet: Column, title: Column, least: int = values.LEAST_MATERIAL) -> Column:
+    """(from, text) of what a summary may be made of: the content, else a snippet that does not just stand for the title.
+
+    A snippet stands for the title if it equals it, or if it is short and one of them holds the other.
+    """
+    fits = lambda c: (F.length(c) >= least) & ~is_shell(c, least)
+    bare, name = strip(snippet), strip(title)
+    holds = F.contains(bare, name) | F.contains(name, bare)
+    placeholder = (bare == name) | (name != "") & (F.length(bare) < values.TRUSTED_SNIPPET) & holds
     whole = lambda kind, c: F.struct(F.lit(kind).alias("from"), c.alias("text"))
-    return F.when(fits(content), whole("content", content)).when(fits(snippet) & ~placeholder, whole("snippet", snippet))
+    return F.when(fits(content), whole("content", content)).when(fits(bare) & ~placeholder, whole("snippet", bare))
 
 
 def is_incident(title: Column, snippet: Column, source: Column) -> Column:

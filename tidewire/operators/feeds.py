@@ -66,7 +66,7 @@ def catch_up(articles: DataFrame, since: str, before: str, days: int = 3, newest
     ranks come from the few distinct days, not from a window over all rows.
     """
     first = F.date_format(F.date_sub(F.lit(before).cast("date"), days), "yyyy-MM-dd")
-    rows = articles.where(not_noise() & main_gate([], with_score=False) & (F.col("date_key") < before) & (F.col("date_key") >= first) & (F.col("collected_at") >= F.expr(f"try_cast('{since}' as timestamp)")))
+    rows = articles.where(not_noise() & main_gate([], with_score=False) & (F.col("date_key") < before) & (F.col("date_key") >= first) & (F.col("collected_at") >= F.try_to_timestamp(F.lit(since))))
     order = Window.partitionBy("date_key").orderBy(F.col("is_featured").desc(), F.col("ai_score").desc(), "id")
     top = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max(newest, others))
     ranks = top.select("date_key").distinct().withColumn("day_rn", F.dense_rank().over(Window.orderBy(F.col("date_key").desc())))
@@ -94,25 +94,63 @@ def tag_facets(articles: DataFrame, keyword_limit: int = 30) -> DataFrame:
 
 
 def related(articles: DataFrame, days: int = 30, most: int = 3) -> DataFrame:
-    """Related items of each article: the same event, else a shared subject and keyword, else two shared keywords.
+    """Up to three items of the ``days`` days before each article: id, other, kind and rn.
 
-    Candidates come from an equi-join on exploded tags and events within the days before, never from comparing all
-    pairs; weights are inverse document frequencies.
+    kind 0: the same event; 1: a shared subject and keyword; 2: two shared keywords. Within a kind the greater
+    weight goes first (inverse document frequencies among the items of the window, keywords doubly), then the later day,
+    then the smaller id. Tags that say nothing about a story don't count.
+
+    Articles of a day with the same event and tags have the same related items, so they are looked up once; of
+    the items with the same event and tags only the newest can be among the first. Items are found by the event,
+    and, only where that gives too few, by pairs of tags; nothing is compared with all others.
     """
-    base = articles.where(not_noise() & (F.col("date_key") != values.SENTINEL)).select("id", "date_key", "event_norm", F.concat(F.transform("companies", lambda c: F.concat(F.lit("s:"), c)), F.transform("keywords", lambda c: F.concat(F.lit("k:"), c))).alias("tags"))
-    total = base.agg(F.count("*").alias("total"))
-    exploded = base.select("id", "date_key", F.explode(F.array_distinct("tags")).alias("tag"))
-    idf = exploded.groupBy("tag").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("tag", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 0.3).alias("idf"))
-    left, right = exploded.join(idf, "tag").alias("l"), exploded.alias("r")
-    near = (F.date_diff(F.col("l.date_key").cast("date"), F.col("r.date_key").cast("date"))).between(0, days) & (F.col("l.id") != F.col("r.id"))
-    hits = left.join(right, (F.col("l.tag") == F.col("r.tag")) & near).groupBy(F.col("l.id").alias("id"), F.col("r.id").alias("other"))
-    keyword = F.col("l.tag").startswith("k:")
-    pairs = hits.agg(F.sum(keyword.cast("int")).alias("topics"), F.sum((~keyword).cast("int")).alias("subjects"), F.sum(F.when(keyword, F.col("l.idf") * 2).otherwise(F.col("l.idf"))).alias("weight"))
-    facts = base.select("id", "event_norm", "date_key")
-    joined = pairs.join(facts, "id").join(facts.select(F.col("id").alias("other"), F.col("event_norm").alias("other_event"), F.col("date_key").alias("other_day")), "other")
-    kind = F.when(F.col("event_norm") == F.col("other_event"), 0).when((F.col("subjects") >= 1) & (F.col("topics") >= 1), 1).when(F.col("topics") >= 2, 2)
-    order = Window.partitionBy("id").orderBy("kind", F.col("weight").desc(), F.col("other_day").desc(), "other")
-    return joined.withColumn("weight", F.round("weight", 6)).withColumn("kind", kind).where("kind is not null").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).select("id", "other", F.col("kind").cast("long").alias("kind"), F.col("rn").cast("long").alias("rn"))
+    said = lambda *cs: F.filter(F.array_distinct(F.transform(F.concat(*cs), lambda v: F.lower(F.trim(v)))), lambda v: (v != "") & ~v.isin(values.GENERIC_TAGS))
+    subjects = [c for c in ("companies", "people") if c in articles.columns]
+    base = articles.where(not_noise() & (F.col("date_key") != values.SENTINEL)).select("id", F.unix_date(F.try_to_date("date_key")).alias("day"), F.trim(F.coalesce("event_norm", F.lit(""))).alias("event"), F.sort_array(said(*subjects)).alias("subjects"), F.sort_array(said("keywords")).alias("topics")).where("day is not null")
+    base = base.withColumn("profile", F.md5(F.to_json(F.struct("event", "subjects", "topics"))))
+    profiles = base.select("profile", "event", "subjects", "topics").distinct()
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("day").rangeBetween(-days, -1)
+    # how often a tag, and anything, stands in the window of a day
+    used = base.select("day", F.explode(F.array_union("subjects", "topics")).alias("tag")).groupBy("tag", "day").agg(F.count("*").alias("n"))
+    totals = base.groupBy("day").agg(F.count("*").alias("n")).withColumn("total", F.coalesce(F.sum("n").over(before(F.lit(0))), F.lit(0)) + 1)  # a row a day
+    idf = used.withColumn("df", F.coalesce(F.sum("n").over(before("tag")), F.lit(0))).join(F.broadcast(totals.select("day", "total")), "day").select("tag", "day", (F.log(F.col("total") / (F.col("df") + 1)) + 0.3).alias("idf"))
+    asked = base.select("profile", "day").distinct()
+    weights = asked.join(profiles, "profile").select("profile", "day", F.explode(F.array_union("subjects", "topics")).alias("tag")).join(idf, ["tag", "day"]).groupBy("profile", "day").agg(F.map_from_entries(F.collect_list(F.struct("tag", "idf"))).alias("idf"))
+    asked = asked.join(profiles, "profile").join(weights, ["profile", "day"], "left")
+    # an item is one of the newest of its profile until ``most`` newer ones are there
+    newest = Window.partitionBy("profile").orderBy(F.col("day").desc(), "id")
+    first = Window.partitionBy("profile", "day").orderBy("id")
+    items = base.select("profile", "day", "id").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most)
+    items = items.withColumn("until", F.least(F.coalesce(F.lag("day", most).over(newest), F.col("day") + days), F.col("day") + days)).where("until > day")
+    items = items.select(F.col("profile").alias("other_profile"), F.explode(F.sequence(F.col("day") + 1, "until")).alias("on"), F.col("id").alias("other"), F.col("day").alias("other_day")).withColumnRenamed("on", "day")
+    others = profiles.select(F.col("profile").alias("other_profile"), F.col("subjects").alias("other_subjects"), F.col("topics").alias("other_topics"), F.col("event").alias("other_event"))
+
+    def ranked(pairs: DataFrame, kind: Column) -> DataFrame:
+        shared_topics, shared_subjects = F.array_intersect("topics", "other_topics"), F.array_intersect("subjects", "other_subjects")
+        sum_of = lambda tags, factor: F.aggregate(tags, F.lit(0.0), lambda x, v: x + factor * F.col("idf")[v])
+        weight = F.round(sum_of(shared_topics, 2.0) + sum_of(shared_subjects, 1.0), 6)
+        found = pairs.select("profile", "day", "other_profile", kind.alias("kind"), weight.alias("weight")).join(items, ["other_profile", "day"])
+        order = Window.partitionBy("profile", "day").orderBy("kind", F.col("weight").desc(), F.col("other_day").desc(), "other")
+        return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
+
+    same = asked.where("event <> ''").join(others.withColumn("event", F.col("other_event")), "event")
+    by_event = ranked(same, F.lit(0)).select("profile", "day", "kind", "rn", "weight", "other", "other_day")
+    have = by_event.groupBy("profile", "day").agg(F.max("rn").alias("have"))
+    more = asked.join(have, ["profile", "day"], "left").where(F.coalesce("have", F.lit(0)) < most)
+
+    def pairs_of(subjects: str, topics: str) -> Column:
+        mixed = F.flatten(F.transform(subjects, lambda a: F.transform(topics, lambda b: F.struct(a.alias("a"), b.alias("b"), F.lit(True).alias("mixed")))))
+        both = F.flatten(F.transform(topics, lambda a: F.transform(F.filter(topics, lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b"), F.lit(False).alias("mixed")))))
+        return F.explode(F.concat(mixed, both)).alias("pair")
+
+    mine = more.select("profile", "day", pairs_of("subjects", "topics"))
+    theirs = others.select("other_profile", "other_event", pairs_of("other_subjects", "other_topics"))
+    met = mine.join(theirs, "pair").groupBy("profile", "day", "other_profile").agg(F.max("pair.mixed").alias("mixed"))
+    met = met.join(more, ["profile", "day"]).join(others, "other_profile").where((F.col("event") == "") | (F.col("event") != F.col("other_event")))
+    by_tags = ranked(met, F.when(F.col("mixed"), 1).otherwise(2)).select("profile", "day", "kind", F.col("rn") + most, "weight", "other", "other_day")
+    place = F.row_number().over(Window.partitionBy("profile", "day").orderBy("rn"))
+    top = by_event.union(by_tags).withColumn("rn", place).where(F.col("rn") <= most)
+    return base.select("id", "profile", "day").join(top, ["profile", "day"]).select("id", "other", F.col("kind").cast("long").alias("kind"), F.col("rn").cast("long").alias("rn"))
 
 
 def health_report(health: DataFrame, sources: DataFrame) -> DataFrame:

@@ -216,16 +216,19 @@ def _(s, d):
     return feeds.health_report(health(s, d), sources).drop("threshold").fillna(0, ["latest_fetched"])
 
 
-@catalog.add("W08_related", A + f""", b AS (SELECT id, date_key, event_norm, list_distinct(list_concat(list_transform(companies, lambda x: 's:' || x), list_transform(keywords, lambda x: 'k:' || x))) AS tags FROM a WHERE {SHOWN} AND date_key >= '2024-01-20' AND date_key <> 'unknown'),
-    e AS (SELECT id, date_key, unnest(tags) AS tag FROM b),
-    f AS (SELECT tag, ln(((SELECT count(*) FROM b) + 1.0) / (count(*) + 1)) + 0.3 AS idf FROM e GROUP BY 1),
-    p AS (SELECT l.id, r.id AS other, count(*) FILTER (l.tag LIKE 'k:%') AS topics, count(*) FILTER (l.tag LIKE 's:%') AS subjects, round(sum(CASE WHEN l.tag LIKE 'k:%' THEN 2 * idf ELSE idf END), 6) AS weight
-      FROM e l JOIN f USING (tag) JOIN e r ON l.tag = r.tag AND l.id <> r.id AND date_diff('day', r.date_key::DATE, l.date_key::DATE) BETWEEN 0 AND 30 GROUP BY 1, 2),
-    k AS (SELECT p.*, CASE WHEN x.event_norm = y.event_norm THEN 0 WHEN subjects >= 1 AND topics >= 1 THEN 1 WHEN topics >= 2 THEN 2 END AS kind, y.date_key AS other_day FROM p JOIN b x ON x.id = p.id JOIN b y ON y.id = p.other),
+@catalog.add("W08_related", A + f""", b AS (SELECT id, date_diff('day', DATE '1970-01-01', date_key::DATE) AS day, event_norm AS event, list_distinct(companies) AS subj, list_distinct(keywords) AS topic FROM a WHERE {SHOWN} AND date_key <> 'unknown'),
+    days AS (SELECT DISTINCT day FROM b), tot AS (SELECT d.day, count(b.id) + 1 AS total FROM days d LEFT JOIN b ON b.day < d.day AND b.day >= d.day - 30 GROUP BY 1),
+    e AS (SELECT id, day, unnest(list_distinct(list_concat(subj, topic))) AS tag FROM b), u AS (SELECT tag, day, count(*) AS n FROM e GROUP BY 1, 2),
+    f AS (SELECT x.tag, x.day, ln(total / (coalesce(sum(y.n), 0) + 1.0)) + 0.3 AS idf FROM u x JOIN tot ON tot.day = x.day LEFT JOIN u y ON y.tag = x.tag AND y.day < x.day AND y.day >= x.day - 30 GROUP BY x.tag, x.day, total),
+    t AS (SELECT id, day, unnest(subj) AS tag, 1 AS w FROM b UNION ALL SELECT id, day, unnest(topic), 2 FROM b),
+    h AS (SELECT l.id, r.id AS other, sum(l.w * idf) AS weight, count(*) FILTER (l.w = 1) AS subjects, count(*) FILTER (l.w = 2) AS topics FROM t l JOIN t r ON l.tag = r.tag AND l.w = r.w AND r.day < l.day AND r.day >= l.day - 30 JOIN f ON f.tag = l.tag AND f.day = l.day GROUP BY 1, 2),
+    p AS (SELECT id, other, weight, subjects, topics FROM h UNION ALL SELECT l.id, r.id, 0, 0, 0 FROM b l JOIN b r ON l.event = r.event AND r.day < l.day AND r.day >= l.day - 30 WHERE l.event <> ''),
+    q AS (SELECT id, other, round(sum(weight), 6) AS weight, sum(subjects) AS subjects, sum(topics) AS topics FROM p GROUP BY 1, 2),
+    k AS (SELECT q.*, CASE WHEN x.event = y.event AND x.event <> '' THEN 0 WHEN subjects >= 1 AND topics >= 1 THEN 1 WHEN topics >= 2 THEN 2 END AS kind, y.day AS other_day FROM q JOIN b x ON x.id = q.id JOIN b y ON y.id = q.other),
     r AS (SELECT id, other, kind, row_number() OVER (PARTITION BY id ORDER BY kind, weight DESC, other_day DESC, other) AS rn FROM k WHERE kind IS NOT NULL)
     SELECT id, other, kind::BIGINT AS kind, rn FROM r WHERE rn <= 3""")
 def _(s, d):
-    return feeds.related(articles(s, d).where("date_key >= '2024-01-20'"))
+    return feeds.related(articles(s, d))
 
 
 @catalog.add("W09_latest_health", H + "SELECT source_name, max(date_key) AS date_key, arg_max(fetched, date_key) AS fetched FROM h GROUP BY 1")

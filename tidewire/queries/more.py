@@ -9,6 +9,7 @@ from tidewire.functions import scores, text, times, urls
 from tidewire.operators import dedup, store
 from tidewire.plans.adapters import ARTICLES, HEALTH, articles, health, read
 from tidewire.queries import Catalog
+from tidewire.queries.scalars import MATERIAL_SQL, material
 
 catalog = Catalog()
 A = f"WITH {ARTICLES} "
@@ -88,11 +89,9 @@ def _(s, d):
     return articles(s, d).select("id", F.when(~ok, "unknown").otherwise(F.coalesce(F.get_json_object(detail, "$.material_level"), F.lit("full"))).alias("level"))
 
 
-@catalog.add("F31_material_gate", "SELECT doc_id, CASE WHEN length(text) >= 200 THEN 'featured' WHEN doc_id % 2 = 0 THEN 'summary' ELSE 'demoted' END AS state FROM documents")
+@catalog.add("F31_material_gate", "SELECT doc_id, CASE WHEN m = 'content' THEN 'featured' WHEN m = 'snippet' THEN 'summary' ELSE 'demoted' END AS state FROM (" + MATERIAL_SQL + ")")
 def _(s, d):
-    snippet = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("snippet "), F.lit(50))).otherwise("")
-    kind = text.pick_material(F.col("text"), snippet, F.lit("a title"))["from"]
-    return read(s, d, "documents").select("doc_id", F.when(kind == "content", "featured").when(kind == "snippet", "summary").otherwise("demoted").alias("state"))
+    return material(s, d).select("doc_id", F.when(F.col("m") == "content", "featured").when(F.col("m") == "snippet", "summary").otherwise("demoted").alias("state"))
 
 
 @catalog.add("F37_archive_key", "SELECT page_id, substr(sha1(url), 1, 16) AS key FROM pages")
@@ -133,13 +132,7 @@ def _(s, d):
     return sources.join(z, "source_name", "left").where("zero_days >= 5")
 
 
-@catalog.add("D05_group_merge", A + ", g AS (SELECT *, id // 4 AS grp FROM a WHERE id < 2000), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ai_score DESC, id) AS rn, CAST(sum(merged_count) OVER (PARTITION BY grp) AS BIGINT) + count(*) OVER (PARTITION BY grp) - 1 AS merged FROM g) SELECT id, merged FROM r WHERE rn = 1")
-def _(s, d):
-    g = articles(s, d).where("id < 2000").withColumn("grp", F.floor(F.col("id") / 4))
-    return g.groupBy("grp").agg(F.max_by("id", F.struct("ai_score", -F.col("id"))).alias("id"), (F.sum("merged_count") + F.count("*") - 1).alias("merged")).select("id", "merged")
-
-
-@catalog.add("D05_group_merge_whole", A + ", g AS (SELECT *, id // 4 AS grp FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ai_score DESC, id) AS rn, CAST(sum(merged_count) OVER (PARTITION BY grp) AS BIGINT) + count(*) OVER (PARTITION BY grp) - 1 AS merged FROM g) SELECT id, merged FROM r WHERE rn = 1")
+@catalog.add("D05_group_merge", A + ", g AS (SELECT *, id // 4 AS grp FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ai_score DESC, id) AS rn, CAST(sum(merged_count) OVER (PARTITION BY grp) AS BIGINT) + count(*) OVER (PARTITION BY grp) - 1 AS merged FROM g) SELECT id, merged FROM r WHERE rn = 1")
 def _(s, d):
     g = articles(s, d).withColumn("grp", F.floor(F.col("id") / 4))
     return g.groupBy("grp").agg(F.max_by("id", F.struct("ai_score", -F.col("id"))).alias("id"), (F.sum("merged_count") + F.count("*") - 1).alias("merged")).select("id", "merged")
@@ -218,14 +211,7 @@ def _(s, d):
     return log.where(part(1) != "").groupBy(part(1).cast("long").alias("user_id")).agg(F.max(part(2).cast("long")).alias("last"))
 
 
-@catalog.add("S30_probe_items", A + "SELECT id, title FROM a WHERE id < 3000 AND id % 2 = 0")
-def _(s, d):
-    xml = F.concat(F.lit("<item><title><![CDATA["), "title", F.lit("]]></title><link>"), F.col("id").cast("string"), F.lit("</link></item>"))
-    rows = articles(s, d).where("id < 3000 and id % 2 = 0").select(xml.alias("x"))
-    return rows.select(F.regexp_extract("x", r"<link>(\d+)</link>", 1).cast("long").alias("id"), F.regexp_extract("x", r"<title>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</title>", 1).alias("title"))
-
-
-@catalog.add("S30_probe_items_whole", A + "SELECT id, title FROM a")
+@catalog.add("S30_probe_items", A + "SELECT id, title FROM a")
 def _(s, d):
     xml = F.concat(F.lit("<item><title><![CDATA["), "title", F.lit("]]></title><link>"), F.col("id").cast("string"), F.lit("</link></item>"))
     rows = articles(s, d).select(xml.alias("x"))

@@ -94,7 +94,7 @@ def _(s, d):
     from tidewire.functions.times import day_key
 
     rows = articles(s, d).select("id", "ai_score", day_key(F.col("collected_at")).alias("date_key"), F.col("id").alias("ord"))
-    return select.mark_featured(rows).select("id", "date_key", "featured")
+    return select.mark_featured(rows, first_share=1.0).select("id", "date_key", "featured")
 
 
 @catalog.add("J01_existing_urls", A + f", n AS (SELECT id, source_url, {NORM} AS url_norm FROM a) SELECT id FROM n WHERE id >= 5000 AND source_url NOT IN (SELECT source_url FROM n WHERE id < 5000)")
@@ -138,13 +138,7 @@ def _(s, d):
     return a.join(r, "id").select("id", F.when(F.col("date_key") != "unknown", F.arrays_overlap("companies", "other")).alias("overlap"))
 
 
-@catalog.add("J09_valid_pairs", A + ", p AS (SELECT id, unnest([id % 7, id % 5 - 1, id % 3]) AS a, generate_subscripts([1, 2, 3], 1) AS pos FROM a WHERE id < 500), v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM p WHERE a BETWEEN 0 AND 5) SELECT id AS b, a FROM v WHERE rn = 1")
-def _(s, d):
-    pairs = articles(s, d).where("id < 500").select("id", F.posexplode(F.array(F.col("id") % 7, F.col("id") % 5 - 1, F.col("id") % 3)).alias("pos", "a"))
-    return dedup.first_by(pairs.where(F.col("a").between(0, 5)), "id", "pos").select(F.col("id").alias("b"), "a")
-
-
-@catalog.add("J09_valid_pairs_whole", A + ", p AS (SELECT id, unnest([id % 7, id % 5 - 1, id % 3]) AS a, generate_subscripts([1, 2, 3], 1) AS pos FROM a), v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM p WHERE a BETWEEN 0 AND 5) SELECT id AS b, a FROM v WHERE rn = 1")
+@catalog.add("J09_valid_pairs", A + ", p AS (SELECT id, unnest([id % 7, id % 5 - 1, id % 3]) AS a, generate_subscripts([1, 2, 3], 1) AS pos FROM a), v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM p WHERE a BETWEEN 0 AND 5) SELECT id AS b, a FROM v WHERE rn = 1")
 def _(s, d):
     pairs = articles(s, d).select("id", F.posexplode(F.array(F.col("id") % 7, F.col("id") % 5 - 1, F.col("id") % 3)).alias("pos", "a"))
     return dedup.first_by(pairs.where(F.col("a").between(0, 5)), "id", "pos").select(F.col("id").alias("b"), "a")
@@ -189,13 +183,7 @@ def _(s, d):
     return days.join(days.where("date_key < '2024-01-15'").select("date_key", F.concat(F.lit("intro "), "date_key").alias("intro")), "date_key", "left")
 
 
-@catalog.add("J16_not_in_store", A + f", n AS (SELECT id, {NORM} AS u FROM a) SELECT id FROM n WHERE id >= 9500 AND u NOT IN (SELECT u FROM n WHERE id < 3000)")
-def _(s, d):
-    n = _norm(articles(s, d)).select("id", "url_norm")
-    return n.where("id >= 9500").join(n.where("id < 3000").select("url_norm"), "url_norm", "left_anti").select("id")
-
-
-@catalog.add("J16_not_in_store_whole", A + f", n AS (SELECT id, {NORM} AS u FROM a) SELECT id FROM n WHERE id % 10 = 0 AND u NOT IN (SELECT u FROM n WHERE id % 10 <> 0)")
+@catalog.add("J16_not_in_store", A + f", n AS (SELECT id, {NORM} AS u FROM a) SELECT id FROM n WHERE id % 10 = 0 AND u NOT IN (SELECT u FROM n WHERE id % 10 <> 0)")
 def _(s, d):
     n = _norm(articles(s, d)).select("id", "url_norm")
     return n.where("id % 10 = 0").join(n.where("id % 10 <> 0").select("url_norm"), "url_norm", "left_anti").select("id")
@@ -227,39 +215,54 @@ def _(s, d):
     return select.refine_pool(articles(s, d).where("date_key <> 'unknown'").select("id", "date_key", "ai_score", (F.col("id") % 401 == 0).alias("incident")), ["2024-01-05"])
 
 
-QUOTA = """ p AS (SELECT *, category = 'policy' AND ai_score >= 70 AS pol FROM a WHERE date_key <> 'unknown'),
-    p1 AS (SELECT *, pol AND row_number() OVER (PARTITION BY date_key, pol ORDER BY ai_score DESC, id) <= 2 AS prot FROM p),
-    p2 AS (SELECT *, sum(prot::INT) OVER (PARTITION BY date_key) AS held FROM p1),
-    p3 AS (SELECT *, row_number() OVER (PARTITION BY date_key, prot ORDER BY ai_score DESC, id) + held AS place FROM p2),
-    p4 AS (SELECT *, NOT prot AND place <= 20 AND ai_score >= CASE WHEN place > 10 THEN 70 ELSE 65 END AS reg FROM p3),
-    p5 AS (SELECT *, sum((prot OR reg)::INT) OVER (PARTITION BY date_key) AS chosen, NOT prot AND NOT reg AND ai_score >= 56 AS spare FROM p4),
-    p6 AS (SELECT *, row_number() OVER (PARTITION BY date_key, spare ORDER BY ai_score DESC, id) AS sr FROM p5),
-    p7 AS (SELECT id, date_key, ai_score, CASE WHEN prot THEN 'policy' WHEN reg THEN 'regular' WHEN spare AND sr <= least(10 - chosen, 5) THEN 'backfill' END AS channel, category FROM p6)"""
-@catalog.add("W05_quota", A + "," + QUOTA + " SELECT id, date_key, ai_score, channel FROM p7 WHERE channel IS NOT NULL")
-def _(s, d):
-    return select.quota(articles(s, d).where("date_key <> 'unknown'"))
+#: Every 23rd row is stored already, the others are the round's.
+QUOTA = """ st AS (SELECT * FROM a WHERE id % 23 = 0), ex AS (SELECT date_key, count(*) AS existing FROM st GROUP BY 1),
+    p AS (SELECT a.id, a.date_key, a.ai_score, category, coalesce(existing, 0) AS existing, id % 401 = 0 AS suspected, category = 'policy' AND id % 2 = 0 AND ai_score >= 70 AS off FROM a LEFT JOIN ex USING (date_key) WHERE id % 23 <> 0),
+    p1 AS (SELECT *, off AND row_number() OVER (PARTITION BY date_key, off ORDER BY ai_score DESC, id) <= 2 AS prot FROM p),
+    p2 AS (SELECT *, suspected AND ai_score >= 56 AND NOT prot AS sus FROM p1),
+    p3 AS (SELECT *, sus AND row_number() OVER (PARTITION BY date_key, sus ORDER BY ai_score DESC, id) <= 3 AS inc FROM p2),
+    p4 AS (SELECT *, NOT prot AND NOT inc AS pool, greatest(0, 20 - existing) AS room, CASE WHEN existing >= 10 THEN 70 ELSE 65 END AS least FROM p3),
+    p5 AS (SELECT *, row_number() OVER (PARTITION BY date_key, pool ORDER BY ai_score DESC, id) AS place FROM p4),
+    p6 AS (SELECT *, pool AND ai_score >= least AND place <= room AS reg, pool AND room > 0 AND ai_score >= 56 AND ai_score < least AS spare FROM p5),
+    p7 AS (SELECT *, row_number() OVER (PARTITION BY date_key, spare ORDER BY ai_score DESC, id) AS sr, least(10 - existing - sum(reg::INT) OVER (PARTITION BY date_key), 5) AS short FROM p6),
+    v AS (SELECT id, date_key, ai_score, row_number() OVER (PARTITION BY date_key ORDER BY ai_score, id) AS k FROM st WHERE category <> 'policy' AND is_featured <> 1),
+    c AS (SELECT p7.id, v.id AS victim, p7.date_key, p7.place, sum(CASE WHEN v.ai_score < p7.ai_score THEN 0 ELSE 1 END) OVER (PARTITION BY p7.date_key ORDER BY place) AS broken
+      FROM p7 JOIN v ON v.date_key = p7.date_key AND v.k = p7.place WHERE pool AND room = 0 AND place <= 5),
+    p8 AS (SELECT p7.*, c.victim, pool AND room = 0 AND ai_score >= 85 AND c.victim IS NULL AS rush FROM p7 LEFT JOIN c ON c.id = p7.id AND broken = 0),
+    p9 AS (SELECT *, row_number() OVER (PARTITION BY date_key, rush ORDER BY ai_score DESC, id) AS rr FROM p8)"""
 
 
-@catalog.add("W06_policy_floor", A + """, s AS (SELECT id, date_key, category FROM a WHERE ai_score >= 95),
-    h AS (SELECT date_key, count(*) AS n, count(*) FILTER (category = 'policy') AS p FROM s GROUP BY 1),
-    r AS (SELECT a.id, a.date_key, a.ai_score, row_number() OVER (PARTITION BY a.date_key ORDER BY a.ai_score DESC, a.id) AS rn, least(2 - coalesce(p, 0), 20 - coalesce(n, 0)) AS need
-      FROM a LEFT JOIN h USING (date_key) WHERE a.category = 'policy' AND a.ai_score >= 56 AND a.id NOT IN (SELECT id FROM s))
-    SELECT id, date_key, ai_score FROM r WHERE rn <= need""")
+@catalog.add("W05_quota", A + "," + QUOTA + " SELECT * FROM (SELECT id, date_key, ai_score, CASE WHEN prot THEN 'policy' WHEN inc THEN 'incident' WHEN reg THEN 'regular' WHEN spare AND sr <= short THEN 'backfill' WHEN victim IS NOT NULL THEN 'replace' WHEN rush AND rr <= 2 THEN 'breaking' END AS channel, coalesce(victim, -1) AS victim FROM p9) WHERE channel IS NOT NULL")
 def _(s, d):
-    a = articles(s, d).select("id", "date_key", "ai_score", "category")
-    return select.policy_floor(a, a.where("ai_score >= 95"))
+    a = articles(s, d)
+    new = a.where("id % 23 <> 0").withColumns({"source_type": F.when(F.col("id") % 2 == 0, "official").otherwise("media"), "suspected": F.col("id") % 401 == 0})
+    return select.quota(new, a.where("id % 23 = 0")).fillna(-1, ["victim"])
 
 
-@catalog.add("W07_featured", A + """, m AS (SELECT id, date_key, ai_score, sum(CASE WHEN ai_score >= 80 THEN 1 ELSE 0 END) OVER (PARTITION BY date_key ORDER BY id) AS seen, count(*) OVER (PARTITION BY date_key) AS n FROM a WHERE id % 20 = 0)
-    SELECT id, CASE WHEN ai_score >= 80 AND seen <= least(n, 5, greatest(1, floor(n * 0.25))) THEN 1 ELSE 0 END::BIGINT AS featured FROM m""")
+@catalog.add("W06_policy_floor", A + """, s AS (SELECT id, date_key, category, source_url FROM a WHERE ai_score >= 95 AND id % 23 <> 0),
+    h AS (SELECT date_key, count(*) AS n, count(*) FILTER (category = 'policy') AS p FROM s GROUP BY 1),
+    e AS (SELECT date_key, count(*) AS existing FROM a WHERE id % 23 = 0 GROUP BY 1),
+    r AS (SELECT a.id, a.date_key, a.ai_score, row_number() OVER (PARTITION BY a.date_key ORDER BY a.ai_score DESC, a.id) AS rn, least(2 - coalesce(p, 0), 20 - coalesce(existing, 0) - coalesce(n, 0)) AS need
+      FROM a LEFT JOIN h USING (date_key) LEFT JOIN e USING (date_key) WHERE a.id % 23 <> 0 AND a.category = 'policy' AND a.ai_score >= 56 AND (a.date_key, a.source_url) NOT IN (SELECT date_key, source_url FROM s))
+    SELECT id, date_key, ai_score FROM r WHERE rn <= need""")
 def _(s, d):
-    return select.mark_featured(articles(s, d).where("id % 20 = 0").withColumn("ord", F.col("id")), first_share=0.25).select("id", "featured")
+    a = articles(s, d).select("id", "date_key", "ai_score", "category", "source_url")
+    new = a.where("id % 23 <> 0")
+    return select.policy_floor(new, new.where("ai_score >= 95"), a.where("id % 23 = 0"))
 
 
-@catalog.add("W07_featured_whole", A + """, m AS (SELECT id, date_key, ai_score, sum(CASE WHEN ai_score >= 80 THEN 1 ELSE 0 END) OVER (PARTITION BY date_key ORDER BY id) AS seen, count(*) OVER (PARTITION BY date_key) AS n FROM a)
-    SELECT id, CASE WHEN ai_score >= 80 AND seen <= least(n, 5, greatest(1, floor(n * 0.25))) THEN 1 ELSE 0 END::BIGINT AS featured FROM m""")
+@catalog.add("W07_featured", A + """, st AS (SELECT date_key, count(*) AS c, count(*) FILTER (is_featured = 1) AS f, min(ai_score) FILTER (is_featured = 1) AS m FROM a WHERE id % 211 = 0 GROUP BY 1),
+    n AS (SELECT a.id, a.date_key, ai_score, collected_at, coalesce(c, 0) AS c, coalesce(f, 0) AS f, coalesce(m, 0) AS m, id % 9 = 4 AS retro, id % 10 = 3 AS loud, count(*) OVER (PARTITION BY a.date_key) AS n FROM a LEFT JOIN st USING (date_key) WHERE id % 211 <> 0),
+    e AS (SELECT *, ai_score >= 80 AND NOT retro AND NOT loud AS e FROM n),
+    k AS (SELECT *, sum(e::INT) OVER (PARTITION BY date_key ORDER BY id) AS seen, greatest(0, 5 - f) AS budget FROM e),
+    r AS (SELECT *, e AND seen <= CASE WHEN c > 0 THEN budget ELSE least(n, budget, greatest(1, floor(n * 0.25))) END AS feat FROM k)
+    SELECT id, feat::BIGINT AS featured, (NOT feat AND c > 0 AND NOT retro AND ai_score >= 85 AND ai_score >= m AND collected_at >= TIMESTAMP '2024-01-30 12:00:00')::BIGINT AS breaking FROM r""")
 def _(s, d):
-    return select.mark_featured(articles(s, d).withColumn("ord", F.col("id")), first_share=0.25).select("id", "featured")
+    a = articles(s, d)
+    stored = a.where("id % 211 = 0").groupBy("date_key").agg(F.count("*").alias("existing_count"), F.count_if(F.col("is_featured") == 1).alias("existing_featured"), F.min(F.when(F.col("is_featured") == 1, F.col("ai_score"))).alias("featured_min_score"))
+    i = F.col("id")
+    new = a.where("id % 211 <> 0").withColumns({"ord": i, "newsness": F.when(i % 9 == 4, "retro").otherwise("new"), "original_title": F.when(i % 10 == 3, "史上最强 model").otherwise(""), "published_at": F.col("collected_at")})
+    return select.mark_featured(new, stored, now="2024-01-31 00:00:00").select("id", "featured", "breaking")
 
 
 @catalog.add("J17_replacements", A + """, c AS (SELECT date_key, id, ai_score, row_number() OVER (PARTITION BY date_key ORDER BY ai_score DESC, id) AS k FROM a WHERE id % 2 = 0 AND ai_score BETWEEN 55 AND 75),

@@ -152,10 +152,39 @@ def _(s, d):
     return _docs(s, d).select("doc_id", F.size(text.hard_tokens(F.col("text"), stop)).alias("tokens"), text.grounded(F.col("text"), F.col("text"), stop).alias("grounded"))
 
 
-@catalog.add("F29_material", "SELECT doc_id, CASE WHEN length(text) >= 200 THEN 'content' ELSE 'none' END AS kind FROM documents")
+_WS = r"[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def shell_sql(x: str) -> str:
+    """Whether a text is a page shell, in DuckDB."""
+    lines = f"list_transform(string_split({x}, chr(10)), lambda l: {_strip_sql('l')})"
+    patterns = [r"(?i)404\s*(not\s*found|页面|错误)", r"(?i)(^|[^A-Za-z0-9_])not\s*found([^A-Za-z0-9_]|$)", r"HTTP\s*/?\s*1\.[01]\s+404"]
+    arms = [f"{_strip_sql(x)} = ''", *(f"regexp_matches({x}, '{r}')" for r in patterns), *(f"contains({x}, '{m}')" for m in values.SHELL_STRONG)]
+    arms.append(f"len(list_filter({lines}, lambda l: length(l) <= {values.SHELL_LINE} AND regexp_matches(l, '{'|'.join(values.SHELL_WEAK)}'))) > 0")
+    arms.append(f"length(array_to_string(list_filter({lines}, lambda l: l <> '' AND NOT (length(l) <= {values.NAVIGATION_LINE} AND regexp_matches(l, '{values.NAVIGATION}'))), chr(10))) < {values.LEAST_MATERIAL}")
+    return "(" + " OR ".join(arms) + ")"
+
+
+#: Every other document has its text as the content, the others only as a snippet; the title is the first line.
+MATERIAL_SQL = f"""SELECT doc_id, CASE WHEN length(c) >= 200 AND NOT {shell_sql('c')} THEN 'content'
+    WHEN length(n) >= 200 AND NOT {shell_sql('n')} AND NOT (n = t OR (t <> '' AND length(n) < 300 AND (contains(n, t) OR contains(t, n)))) THEN 'snippet' ELSE 'none' END AS m
+    FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE '' END AS c, {_strip_sql("coalesce(text, '')")} AS n, {_strip_sql("string_split(coalesce(text, ''), chr(10))[1]")} AS t FROM documents)"""
+
+
+def material(s, d):
+    """(doc_id, m): what each document offers for a summary."""
+    body = F.coalesce("text", F.lit(""))
+    m = text.pick_material(F.when(F.col("doc_id") % 2 == 0, body).otherwise(""), body, F.split(body, "\n")[0])
+    return _docs(s, d).select("doc_id", F.coalesce(m["from"], F.lit("none")).alias("m"))
+
+
+@catalog.add("F29_material", MATERIAL_SQL)
 def _(s, d):
-    m = text.pick_material(F.col("text"), F.substring("text", 1, 100), F.substring("text", 1, 60))
-    return _docs(s, d).select("doc_id", F.coalesce(m["from"], F.lit("none")).alias("kind"))
+    return material(s, d)
 
 
 @catalog.add("F32_reason_code", A + "SELECT id, string_split(summary || ':' || id, ':')[1] AS code FROM a")
@@ -216,12 +245,7 @@ def _(s, d):
     return _docs(s, d).select("doc_id", text.first_sentence(F.col("text")).alias("first"))
 
 
-@catalog.add("F45_spread", A + "SELECT id, 89 - floor((id % 10) * 9 / 9.0 + 0.5)::BIGINT AS score FROM a WHERE id % 3 = 0")
-def _(s, d):
-    return articles(s, d).where("id % 3 = 0").select("id", scores.spread(F.col("id") % 10, F.lit(10), F.lit(80), F.lit(89)).alias("score"))
-
-
-@catalog.add("F45_spread_whole", A + "SELECT id, 89 - floor((id % 10) * 9 / 9.0 + 0.5)::BIGINT AS score FROM a")
+@catalog.add("F45_spread", A + "SELECT id, 89 - floor((id % 10) * 9 / 9.0 + 0.5)::BIGINT AS score FROM a")
 def _(s, d):
     return articles(s, d).select("id", scores.spread(F.col("id") % 10, F.lit(10), F.lit(80), F.lit(89)).alias("score"))
 
@@ -271,10 +295,9 @@ def _(s, d):
     return _docs(s, d).select("doc_id", text.is_roundup(title, F.regexp_replace("text", "^ +| +$", ""), F.lit(False)).alias("roundup"))
 
 
-@catalog.add("P22_shells", "SELECT doc_id, doc_id % 2 = 0 AS shell FROM documents")
+@catalog.add("P22_shells", "SELECT doc_id, " + shell_sql("coalesce(text, '')") + " AS shell FROM documents")
 def _(s, d):
-    page = F.when(F.col("doc_id") % 2 == 0, "标题\n页面不存在\n返回").otherwise(F.lit("A plain short text"))
-    return _docs(s, d).select("doc_id", text.is_shell(page).alias("shell"))
+    return _docs(s, d).select("doc_id", text.is_shell(F.col("text")).alias("shell"))
 
 
 @catalog.add("P25_alert_tiers", A + """, r AS (SELECT date_key, count(*) FILTER (trim(takeaway) = '' AND id % 5 = 0) AS q, count(*) FILTER (is_featured = 1 AND id % 9 = 0) AS n FROM a GROUP BY 1)

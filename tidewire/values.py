@@ -49,6 +49,10 @@ SHELL_STRONG = [
 ]
 SHELL_WEAK = ["环境异常", "安全验证", "访问过于频繁", "加载失败", "出错了"]
 SHELL_LINE = 40
+# What a short line of navigation holds, its greatest length, and the least text that can be summarised.
+NAVIGATION = r"(关注|点赞|在看|分享|扫码|订阅|举报|广告|版权|免责|上一篇|下一篇|返回首页|目录|标签|来源|编辑|记者|审核|责任编辑|扫码关注|阅读原文|点击阅读)"
+NAVIGATION_LINE = 24
+LEAST_MATERIAL, TRUSTED_SNIPPET = 200, 300
 SHELL_PATTERNS = [r"(?i)404\s*(not\s*found|页面|错误)", r"(?i)(?<![A-Za-z0-9_])not\s*found(?![A-Za-z0-9_])", r"HTTP\s*/?\s*1\.[01]\s+404"]
 
 # Round-up columns, clickbait, domestic media hosts.
