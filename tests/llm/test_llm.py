@@ -379,22 +379,68 @@ def test_chat_round_trip(spark):
     }
     rows = [(c, t, role, text, 0) for c, turns in convs.items() for t, (role, text) in enumerate(turns)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position long")
-    for capacity in (1 << 18, 10):
-        got = {x.conv_id: x for x in chat.read_back(chat.format_trees(df, capacity)).collect()}
+    for parts in (1, 4, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            nodes, leaves, preludes = chat.format_trees(df)
+            got = {x.conv_id: x for x in chat.read_back(nodes, leaves, preludes).collect()}
+            rows = sorted(nodes.collect(), key=lambda n: n.start)
+            ends = {x.conv_id: x.start for x in leaves.collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
         for c, turns in convs.items():
             said = "".join(f"{r}\n{t or ''}\n" for r, t in turns)
             loss = "".join(t or "" for r, t in turns if r == "assistant")
             assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
             assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
             assert got[c].formatted_chars == sum(len(chat.format_turn(r, t or "")[0]) for r, t in turns)
-    spark.conf.set("spark.sql.shuffle.partitions", 1)
+        whole = "".join(n.text for n in rows)
+        assert whole.count("hello") == 1 and [n.start for n in rows] == [sum(m.length for m in rows[:i]) for i in range(len(rows))]
+        for n in rows:
+            assert n.position == sum(x.end - x.start for x in n.spans) and n.tree == (n.spans[0].start if n.spans else n.start)
+        assert ends[1] == ends[3]
+        last = next(n for n in rows if n.start == ends[2])
+        formatted = "".join(chat.format_turn(r, t or "")[0] for r, t in convs[2])
+        assert "".join(whole[x.start : x.end] for x in last.spans) + last.text == formatted
+
+
+@pytest.mark.parametrize("seed", [51, 52, 53])
+def test_shared_turns_are_written_once_whatever_the_partitions(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for c in range(120):
+        turns = [("system", "x" * 10_000)] + [(r.choice(["user", "assistant"]), f"say {r.randrange(2)}") for _ in range(r.randrange(0, 9))]
+        rows += [(c, t, role, text) for t, (role, text) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    prefixes = {tuple((x[2], x[3]) for x in rows if x[0] == c)[: k + 1] for c in range(120) for k in range(sum(x[0] == c for x in rows))}
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
     try:
-        trees = chat.format_trees(df.where("conv_id <= 3")).collect()
+        nodes, leaves, preludes = chat.format_trees(df)
+        got = nodes.collect()
+        read = {x.conv_id: x for x in chat.read_back(nodes, leaves, preludes).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
-    assert len(trees) == 1 and trees[0].text.count("hello") == 1
-    node = next(n for n in trees[0].nodes if 2 in n.conversations)
-    assert len(node.ancestors) == 4 and node.position == sum(a.end - a.start for a in node.ancestors)
+    assert len(got) == len(prefixes) and sum("xxx" in n.text for n in got) == 1
+    assert len({n.part for n in got}) > 3
+    for c in range(120):
+        said = "".join(f"{x[2]}\n{x[3]}\n" for x in rows if x[0] == c)
+        assert read[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_long_conversations_have_few_intervals(spark):
+    rows = [(c, t, "user", f"{t} {c if t > 1500 else ''}") for c in (1, 2) for t in range(3000)]
+    nodes, leaves, preludes = chat.format_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert nodes.count() == 4499 and max(len(n.spans) for n in nodes.collect()) == 2
+    assert {x.n_turns for x in chat.read_back(nodes, leaves, preludes).collect()} == {3000}
+
+
+def test_chat_edges(spark):
+    kind = "conv_id long, turn long, role string, text string, start int, part int"
+    rows = [(None, 0, "user", None, 1, 1), (None, 1, None, "x", 1, 1), (3, 0, "user", "a", 1, 1), (3, 0, "user", "a", 1, 1), (4, None, "assistant", "", 1, 1), (5, 0, "as\nsist\\ant", "\n<|", 1, 1)]
+    got = {x.conv_id: x for x in chat.read_back(*chat.format_trees(spark.createDataFrame(rows, kind))).collect()}
+    assert {c: x.n_turns for c, x in got.items()} == {None: 2, 3: 2, 4: 1, 5: 1}
+    assert got[5].turns_sha256 == hashlib.sha256(b"as\nsist\\ant\n\n<|\n").hexdigest()
+    assert chat.read_back(*chat.format_trees(spark.createDataFrame([], kind))).count() == 0
 
 
 def test_escapes():
