@@ -543,3 +543,24 @@ def test_extra_columns_with_clashing_names_stay(spark):
         assert {tuple(r[5:]) for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}
     model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, (-3.0, 0.5, 0.5))
     assert toxicity.score_documents(wide, model, score_col="__toxicity").columns == [*wide.columns, "__toxicity"]
+
+
+def test_passages_score_every_token(spark):
+    texts = ["alpha beta gamma alpha", "delta Delta beta", None, "", "alpha alpha beta beta beta beta alpha alpha alpha"]
+    weight = {"alpha": 1.5, "beta": -0.75}
+    forms, first = toxicity.token_forms(pa.array(["alpha beta"]))
+    keys = forms[:, 0]
+    order = np.argsort(keys)
+    n, found = toxicity.passages(pa.array(texts), keys[order], np.array([1.5, -0.75])[order])
+
+    def brute(tokens):
+        best, at = 0, None
+        for i in range(len(tokens)):
+            for j in range(i + 1, len(tokens) + 1):
+                if sum(tokens[i:j]) > best + 1e-12:
+                    best, at = sum(tokens[i:j]), (i, j)
+        return [] if at is None else brute(tokens[: at[0]]) + [best] + brute(tokens[at[1] :])
+
+    for i, t in enumerate(texts):
+        tokens = [weight.get(w, -toxicity.GAP) for w in (t or "").lower().split()]
+        assert n[i] == len(tokens) and sorted(found[i]) == pytest.approx(sorted(brute(tokens)))

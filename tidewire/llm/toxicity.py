@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import kernels
-from tidewire.llm.session import materialize, table
+from tidewire.llm.session import discard, materialize, table
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of their id.
 MAX_LABELLED = 60_000
 #: A token form counts as evidence if at least so many toxic training texts hold it.
 MIN_TOXIC = 3
-#: Cost of each token without evidence inside a passage.
+#: Cost of each token without evidence inside a passage: scores of clean text have to fall on average.
 GAP = 0.25
+#: Token scores are counted in steps of this for the extreme-value law.
+STEP = 0.05
+#: Standard errors by which log-odds are taken nearer to 0, and the least log-odds that then count for the toxic side:
+#: very many forms are looked at, and chance favours some a little.
+ERRORS, LEAST = 1.0, 1.5
 #: Weight of the informative Dirichlet prior, in tokens, and its flat part.
 PRIOR, FLAT = 500.0, 0.5
 #: Passages whose expected number in clean text of that length is above this are not significant.
@@ -57,7 +62,7 @@ def token_forms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lookup(forms: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Each token's weight: of its longest form with evidence; 0 if none has any."""
+    """Each token's log-odds: of its longest form with evidence for either side; 0 if none has any."""
     if not len(keys):
         return np.zeros(len(forms))
     # a small bitmap spares most tokens the search
@@ -94,20 +99,24 @@ def maximal_segments(scores: list[float], before: list[float]) -> list[float]:
     return [right - left for left, right, _ in stack]
 
 
-def passages(column: pa.Array, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, list[list[float]]]:
-    """(tokens, scores of the maximal passages) of each text."""
+def token_scores(column: pa.Array, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, first): the log-odds of each token, or -GAP without evidence."""
     forms, first = token_forms(column)
     weight = _lookup(forms, keys, weights)
-    hits = np.flatnonzero(weight > 0)
+    return np.where(weight != 0, weight, -GAP), first
+
+
+def passages(column: pa.Array, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, list[list[float]]]:
+    """(tokens, scores of the maximal passages) of each text."""
+    score, first = token_scores(column, keys, weights)
+    total = np.concatenate([[0.0], np.cumsum(score)])
+    hits = np.flatnonzero(score > 0)
     doc = np.searchsorted(first, hits, side="right") - 1
     out: list[list[float]] = [[] for _ in range(len(first) - 1)]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(hits)]]) if len(hits) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         d = int(doc[a])
-        s = weight[hits[a:b]]
-        rank = np.arange(b - a)
-        ahead = np.concatenate([[0.0], np.cumsum(s)[:-1]]) - GAP * (hits[a:b] - first[d] - rank)
-        out[d] = maximal_segments(s.tolist(), ahead.tolist())
+        out[d] = maximal_segments(score[hits[a:b]].tolist(), (total[hits[a:b]] - total[first[d]]).tolist())
     return np.diff(first), out
 
 
@@ -123,13 +132,28 @@ def _features(tokens: np.ndarray, segments: list[list[float]], scale: float, siz
     return out
 
 
-def _log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
-    """Lower bounds (one standard error) of the log-odds ratios under an informative Dirichlet prior."""
-    prior = FLAT + PRIOR * (toxic + clean) / (n_toxic + n_clean)
+def _log_odds(n_toxic: float, n_clean: float):
+    """Signed log-odds ratio under an informative Dirichlet prior, ``ERRORS`` standard errors nearer to 0; 0 if it is less.
+
+    An expression over the columns toxic and clean, the numbers of texts that hold a form.
+    """
+    toxic, clean = F.col("toxic"), F.col("clean")
+    prior = F.lit(FLAT) + PRIOR * (toxic + clean) / (n_toxic + n_clean)
     total = PRIOR + FLAT
     a, b = toxic + prior, clean + prior
-    ratio = np.log(a / (n_toxic + total - a)) - np.log(b / (n_clean + total - b))
-    return ratio - np.sqrt(1 / a + 1 / b)
+    ratio = F.log(a / (n_toxic + total - a)) - F.log(b / (n_clean + total - b))
+    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - ERRORS * F.sqrt(1 / a + 1 / b))
+
+
+def _decay(scores: np.ndarray, counts: np.ndarray) -> float:
+    """lambda of the extreme-value law: the positive solution of E(exp(lambda * score)) = 1 over tokens of clean text."""
+    share = counts / max(1, counts.sum())
+    low, high = 1e-6, 10.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        grown = float(np.sum(share * np.exp(np.minimum(mid * scores, 500))))
+        low, high = (low, mid) if grown > 1 else (mid, high)
+    return max(low, 1e-3)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float, float]:
@@ -183,25 +207,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[0], keys[first_of].view(np.int64)])), pa.array(np.concatenate([[size[0]], t])), pa.array(np.concatenate([[size[1]], n - t]))], ["key", "toxic", "clean"])
 
     texts = train.where("fold <> 4").dropDuplicates(["text", "toxic"]).select("text", "toxic")
-    counts = texts.mapInArrow(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = counts.where(f"toxic >= {MIN_TOXIC} or key = 0").where("key = 0 or toxic > clean").toPandas()
-    sizes = found[found.key == 0]
-    n_toxic, n_clean = (float(sizes[c].sum()) for c in ("toxic", "clean"))
-    found = found[found.key != 0]
-    weights = _log_odds(found.toxic.to_numpy(float), found.clean.to_numpy(float), n_toxic + 1, n_clean + 1)
-    keys = found.key.to_numpy().view(np.uint64)
-    good = weights > GAP
-    order = np.argsort(keys[good])
-    keys, weights, clean = keys[good][order], weights[good][order], found.clean.to_numpy(float)[good][order]
-    # lambda solves sum(p * exp(lambda * score)) = 1 over the tokens of clean text
-    chance = (clean + FLAT) / (n_clean + 1 + FLAT * max(1, len(keys)))
-    rest = max(0.0, 1 - chance.sum())
-    low, high = 1e-6, 10.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        grown = rest * math.exp(-mid * GAP) + float(np.sum(chance * np.exp(np.minimum(mid * weights, 500))))
-        low, high = (low, mid) if grown > 1 else (mid, high)
-    scale = max(low, 1e-3)
+    counts = materialize(texts.mapInArrow(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "forms")
+    sizes = counts.where("key = 0").first()  # the tokens of both sides
+    n_toxic, n_clean = (float(sizes[c]) + 1 if sizes else 1.0 for c in ("toxic", "clean"))
+    # evidence for a side: few enough forms have some for max_labelled texts
+    found = counts.where("key <> 0").withColumn("weight", _log_odds(n_toxic, n_clean)).where((F.col("weight") < 0) | (F.col("weight") > LEAST) & (F.col("toxic") >= MIN_TOXIC))
+    found = found.select("key", "weight").toPandas()
+    discard(counts)
+    keys, weights = found.key.to_numpy().view(np.uint64), found.weight.to_numpy()
+    order = np.argsort(keys)
+    keys, weights = keys[order], weights[order]
+
+    def spread(reader):
+        for batch in kernels.batches(reader, "text", 1 << 20):
+            step, n = np.unique(np.round(token_scores(batch.column("text"), keys, weights)[0] / STEP).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
+
+    steps = texts.where("toxic = 0").select("text").mapInArrow(spread, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()  # as many rows as there are scores
+    scale = _decay(steps.step.to_numpy() * STEP, steps.n.to_numpy().astype(float))
 
     def score(reader):
         for batch in kernels.batches(reader, "text", 1 << 20):
