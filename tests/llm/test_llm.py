@@ -547,11 +547,11 @@ def test_extra_columns_with_clashing_names_stay(spark):
 
 def test_passages_score_every_token(spark):
     texts = ["alpha beta gamma alpha", "delta Delta beta", None, "", "alpha alpha beta beta beta beta alpha alpha alpha"]
-    weight = {"alpha": 1.5, "beta": -0.75}
+    weight = {"alpha": 1.5, "beta": -0.7}
     forms, first = toxicity.token_forms(pa.array(["alpha beta"]))
     keys = forms[:, 0]
     order = np.argsort(keys)
-    n, found = toxicity.passages(pa.array(texts), keys[order], np.array([1.5, -0.75])[order])
+    n, found = toxicity.passages(pa.array(texts), keys[order], np.array([1.5, -0.7])[order])
 
     def brute(tokens):
         best, at = 0, None

@@ -14,7 +14,7 @@ from tidewire.llm.grouping import runs
 from tidewire.llm.session import materialize, shuffle_width, table
 
 #: Vectors that a bucket should hold on average; fewer bits for smaller tables.
-BUCKET = 48
+BUCKET = 256
 #: Chance at most that a pair at the threshold itself shares no bucket; closer pairs are missed far less.
 MISS = 1e-5
 #: A bucket with more vectors is cut into chunks of this size, and chunk pairs are compared by different tasks.
