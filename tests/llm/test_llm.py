@@ -226,6 +226,25 @@ def test_sketches(spark):
     assert got[10].fingerprint == got[11].fingerprint
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_each_document_meets_the_next_one(spark, parts):
+    r = random.Random(61)
+    ids = r.sample(range(-500, 500), 150)
+    rows = [(i, f"text of {i} " * 3) for i in ids] + [(None, "no id")]
+    want, order = {}, sorted(ids, reverse=True) + [None]
+    text = dict(rows)
+    for i, k in enumerate(order):
+        own, nxt = text[k], text[order[(i + 1) % len(order)]]
+        n = len(own)
+        want[k] = hashlib.sha256((own[: n - n // 2] + nxt[: n // 2]).encode()).hexdigest()
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {x.doc_id: x.edited_sha256 for x in sketch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == want
+
+
 def test_sketches_merge(spark):
     r = random.Random(11)
     texts = [prose(r, 500, 9000) for _ in range(6)]

@@ -8,7 +8,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import kernels
@@ -18,6 +18,8 @@ from tidewire.llm.session import shuffle_width, table
 K = 128
 #: Words in a shingle.
 WIDTH = 5
+#: Ranges of ids at most.
+RANGES = 4096
 _TOP = 0xFFFFFFFF
 
 
@@ -103,29 +105,32 @@ def merge_by_key(sketched: DataFrame, key: str, column: str, k: int = K) -> Data
     return parts.groupBy("key").applyInPandas(final, f"key {kind}, sketch string").withColumnsRenamed({"key": key, "sketch": column})
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows dealt into id ranges, sorted by descending id, each range closed by a copy of the next range's first row.
 
-    Columns: part, copy (1: only closes the range), id, tie, text; sorted by part, copy, id descending, tie.
-    Ranges come from percentiles of the ids, of which the driver gets a fixed number. A null id is the smallest.
+    Columns: part, copy (1: only closes the range), id, tie, void, text; sorted by part, copy, id descending, tie.
+    Ranges come from at most ``RANGES`` percentiles of the ids. A null id is the smallest.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("void"), F.col(text_col).alias("text"))
-    parts = 4 * width
+    parts = min(4 * width, RANGES)
     cuts = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 50 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
-    part = F.lit(len(cuts)) - F.array_size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("id"))) if cuts else F.lit(0)
+    # one literal; a row is looked up in blocks of it first
+    step = max(1, int(len(cuts) ** 0.5))
+    below = lambda values: F.array_size(F.filter(F.lit(values).cast("array<long>"), lambda c: c < F.col("id")))
+    inside = F.filter(F.slice(F.lit(cuts).cast("array<long>"), below(cuts[step - 1 :: step]) * step + 1, step), lambda c: c < F.col("id")) if cuts else None
+    part = F.lit(len(cuts)) - below(cuts[step - 1 :: step]) * step - F.array_size(inside) if cuts else F.lit(0)
     rows = rows.withColumn("part", part.cast("int")).withColumn("tie", F.xxhash64("text"))
-    tops = {r[0]: r[1] for r in rows.groupBy("part").agg(F.max("id")).collect()}  # one row a range
-    order = sorted(tops)
-    closes = {tops[b]: a for a, b in zip(order, order[1:] + order[:1], strict=True)}  # first id of a range -> the range before
-    heads = rows.where(F.col("id").isin(list(closes))).groupBy("id").agg(F.min(F.struct("tie", "void", "text")).alias("m"))
-    ends = F.create_map(*[x for i, p in closes.items() for x in (F.lit(i).cast("long"), F.lit(p))]) if closes else F.create_map()
-    heads = heads.select(F.col("id"), "m.void", "m.text", (ends[F.col("id")] if closes else F.lit(0)).cast("int").alias("part"), "m.tie")
-    keys = ["part", "copy", "id", "tie"]
+    # the first id of each range closes the range before; the last one is closed by the first. A row for each range.
+    order = Window.orderBy("part")
+    last = F.last("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    closes = rows.groupBy("part").agg(F.max("id").alias("id")).select("id", F.coalesce(F.lag("part").over(order), last).alias("closes"))
+    heads = rows.join(F.broadcast(closes), "id").groupBy("id", "closes").agg(F.min(F.struct("tie", "void", "text")).alias("m"))
+    heads = heads.select("id", "m.void", "m.text", F.col("closes").alias("part"), "m.tie")
     both = rows.withColumn("copy", F.lit(0)).unionByName(heads.withColumn("copy", F.lit(1)))
-    return both.repartition(width, "part").sortWithinPartitions("part", "copy", F.col("id").desc(), "tie"), keys
+    return both.repartition(width, "part").sortWithinPartitions("part", "copy", F.col("id").desc(), "tie")
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +144,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, width: int = WIDTH, id_co
     is its own next. An empty table gives no rows; other columns are ignored.
     Texts are shuffled once; the next text is at hand because ranges of ids are sorted.
     """
-    dealt, _ = with_next(docs, id_col, text_col)
+    dealt = with_next(docs, id_col, text_col)
 
     def rows_of(texts: list[str], sk: np.ndarray, ids: list, voids: list, parts: np.ndarray, copies: np.ndarray):
         """The output for each row that is followed by another one of its range."""
