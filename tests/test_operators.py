@@ -261,14 +261,9 @@ def test_feeds_and_lists(spark):
     assert got["N"].error == "no scraper nobody" and "Bad" not in got
 
 
-def test_runs_of_articles_and_health_errors():
+def test_runs_of_articles():
     items = [{"kind": k} for k in ["Article", "Article", "Ad", "Article"]]
     assert [len(x) for x in parse.segments(items)] == [2, 1]
-    assert parse.health_error(None, None, None, 0, 0, "boom") == "SCRAPER_THROW boom"
-    assert parse.health_error(0, 200, None, 0, 0, None).startswith("PARSED_ZERO http=200")
-    assert parse.health_error(None, None, None, 0, 0, None).startswith("ZERO_NO_META")
-    assert parse.health_error(5, 200, None, 5, 0, None).startswith("FILTERED_ALL matched=5")
-    assert parse.health_error(5, 200, None, 5, 2, None) is None
 
 
 def test_loose_answers():
@@ -366,3 +361,30 @@ def test_grounding_reads_the_whole_text(spark, tmp_path):
     got = {x.doc_id: (x.tokens, x.grounded) for x in catalog.QUERIES["F30_grounding"](spark, str(tmp_path)).collect()}
     brute = {w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9]*", long) if re.search("[A-Z]", w)}
     assert got[1] == (len(brute), True) and got[2] == (1, True)
+
+
+def test_scrape_health_names_the_gravest_thing(spark):
+    from tidewire.operators import intake
+
+    kind = "thrown string, error string, matched int, status int, n int, fresh int"
+    rows = [("boom", "x", 0, 503, 0, 0), (None, "x", 0, 503, 0, 0), (None, None, 0, 503, 0, 0), (None, None, 0, None, 0, 0), (None, None, 4, 503, 4, 4), (None, None, None, 200, 0, 0), (None, None, 5, 200, 5, 0), (None, None, 5, 200, 5, 2), (None, None, None, None, 3, 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {kind}")
+    got = [r.e for r in df.withColumn("e", intake.scrape_health(*(F.col(c) for c in ("thrown", "error", "matched", "status", "n", "fresh")))).orderBy("i").collect()]
+    assert [g and g[: len(w)] for g, w in zip(got, ["SCRAPER_THROW boom", "SCRAPER_ERROR x", "PARSED_ZERO http=503", "PARSED_ZERO http=n/a", "HTTP 503", "ZERO_NO_META", "FILTERED_ALL matched=5"], strict=False)] == ["SCRAPER_THROW boom", "SCRAPER_ERROR x", "PARSED_ZERO http=503", "PARSED_ZERO http=n/a", "HTTP 503", "ZERO_NO_META", "FILTERED_ALL matched=5"]
+    assert got[7:] == [None, None]
+
+
+def test_retry_queue_shelves_and_holds(spark):
+    from tidewire.operators import intake
+
+    queue = spark.createDataFrame([("u1", "missing_body", None), ("u2", "missing_body", 2), ("https://www.politico.com/x", "HTTP 403", 1), ("u4", "ungrounded_summary:x", 0), ("u5", "missing_body", 3), ("u6", "timeout", 1)], "source_url string, reason string, attempts int")
+    clean = spark.createDataFrame([("u4",), ("u6",), ("u5",)], "source_url string")
+    got = {r.source_url: (r.state, r.attempts) for r in intake.retry(queue, clean).collect()}
+    assert got == {"u1": ("queued", 1), "u2": ("shelved", 3), "https://www.politico.com/x": ("shelved", 3), "u4": ("held", 1), "u5": ("shelved", 3), "u6": ("released", 1)}
+
+
+def test_feeds_that_were_decoded_wrongly_are_refused(spark):
+    body = "<rss><channel><item><title>" + "\ufffd" * 60 + "</title><link>u</link></item></channel></rss>"
+    fetched = spark.createDataFrame([("feed", "s", "https://x/", "c", "l", "t", body, "2024-01-20 00:00:00")], "scraper string, name string, url string, category string, language string, source_type string, body string, now string")
+    got = parse.parse_pages(fetched).collect()
+    assert len(got) == 1 and got[0].title is None and "U+FFFD" in got[0].error

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewire.queries import feeds, models, more, rounds, scalars
+from tidewire.queries import feeds, intake, models, more, rounds, scalars
 
-_GROUPS = [feeds.catalog, rounds.catalog, scalars.catalog, models.catalog, more.catalog]
+_GROUPS = [feeds.catalog, rounds.catalog, scalars.catalog, models.catalog, more.catalog, intake.catalog]
 QUERIES = {k: f for g in _GROUPS for k, f in g.queries.items()}
 ORACLE_SQL = {k: q for g in _GROUPS for k, q in g.sql.items()}

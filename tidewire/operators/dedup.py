@@ -50,14 +50,19 @@ def title_hits(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 def similar_titles(rows: DataFrame, least: float = 0.55, min_length: int = 16) -> DataFrame:
     """Pairs of titles of one block with a Dice similarity and no conflict of numbers.
 
-    ``rows`` has id, block and title. Pairs come from a join on shared rare bigrams of the block, so that no block
-    is multiplied with itself; each pair is then compared once.
+    ``rows`` has id, block and title. Pairs come from a join on the rarest bigrams of each title in its block, so that
+    no block is multiplied with itself; the join carries ids only, and each pair is then compared once.
     """
     base = rows.where(F.length("title") >= min_length).select("id", "block", "title", text.bigrams(F.col("title")).alias("grams"))
+    held = base.select("id", "block", F.explode("grams").alias("gram"))
+    ranked = held.join(held.groupBy("block", "gram").agg(F.count("*").alias("n")), ["block", "gram"]).groupBy("id", "block").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
     # two sets with Dice d share a gram among the first (1 - d / (2 - d)) * n + 1 of any common order
     share = 1 - least / (2 - least)
-    keyed = base.withColumn("gram", F.explode(F.slice(F.sort_array("grams"), 1, (F.floor(F.size("grams") * share) + 1).cast("int"))))
-    pairs = keyed.alias("a").join(keyed.alias("b"), ["block", "gram"]).where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.title").alias("ta"), F.col("b.title").alias("tb"), F.col("a.grams").alias("ga"), F.col("b.grams").alias("gb")).dropDuplicates(["a", "b"])
+    keyed = ranked.select("id", "block", F.size("grams").alias("size"), F.explode(F.slice("grams", 1, (F.floor(F.size("grams") * share) + 1).cast("int"))).alias("g")).select("id", "block", "size", "g.gram")
+    sizes = (F.col("a.size") * least <= F.col("b.size") * (2 - least)) & (F.col("b.size") * least <= F.col("a.size") * (2 - least))
+    pairs = keyed.alias("a").join(keyed.alias("b"), ["block", "gram"]).where((F.col("a.id") < F.col("b.id")) & sizes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    side = lambda n: base.select(F.col("id").alias(n), F.col("title").alias(f"t{n}"), F.col("grams").alias(f"g{n}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     score = 2.0 * F.size(F.array_intersect("ga", "gb")) / (F.size("ga") + F.size("gb"))
     return pairs.withColumn("dice", score).where((F.col("dice") >= least) & ~text.digits_conflict(F.col("ta"), F.col("tb"))).select("a", "b", F.round("dice", 6).alias("dice"))
 

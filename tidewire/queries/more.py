@@ -104,27 +104,11 @@ def _(s, d):
     return articles(s, d).select("id", scores.band(F.col("ai_score")).alias("band"), F.date_format(F.col("collected_at") + F.expr("INTERVAL 8 HOURS"), "MM-dd HH:mm").alias("at"))
 
 
-@catalog.add("S33_health_errors", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'SCRAPER_THROW x' WHEN event_id % 7 = 0 THEN 'PARSED_ZERO http=200' WHEN event_id % 5 = 0 THEN 'HTTP 503' WHEN event_id % 3 = 0 THEN 'FILTERED_ALL matched=4' ELSE 'ok' END AS error FROM events")
-def _(s, d):
-    i = F.col("event_id")
-    thrown, matched = F.when(i % 11 == 0, "x"), F.when(i % 7 == 0, 0).otherwise(4)
-    status, kept = F.when(i % 5 == 0, 503).otherwise(200), F.when(i % 3 == 0, 0).otherwise(2)
-    status = F.when(i % 7 == 0, 200).otherwise(status)
-    error = F.when(thrown.isNotNull(), F.concat(F.lit("SCRAPER_THROW "), thrown)).when(matched == 0, F.concat(F.lit("PARSED_ZERO http="), status.cast("string"))).when(~status.between(200, 299), F.concat(F.lit("HTTP "), status.cast("string"))).when((kept == 0) & (matched > 0), F.concat(F.lit("FILTERED_ALL matched="), matched.cast("string"))).otherwise("ok")
-    return read(s, d, "events").select("event_id", error.alias("error"))
-
-
 @catalog.add("P13_clean_for_reprocess", A + "SELECT id FROM a WHERE trim(takeaway) <> '' AND summary NOT LIKE '%�%' AND length(title) > 10")
 def _(s, d):
     return articles(s, d).where((F.trim("takeaway") != "") & ~F.col("summary").contains("�") & (F.length("title") > 10)).select("id")
 
 
-@catalog.add("P24_fatal_probe", "SELECT event_id, event_id % 5 IN (1, 2) AS fatal FROM events")
-def _(s, d):
-    code = F.element_at(F.array(*[F.lit(x) for x in ("timeout", "Arrearage", "InvalidApiKey", "HTTP 500", "ok")]), (F.col("event_id") % 5 + 1).cast("int"))
-    return read(s, d, "events").select("event_id", code.rlike("Arrearage|InvalidApiKey|Access denied").alias("fatal"))
-
-
 @catalog.add("J07_source_alerts", H + ", q AS (SELECT source_name, count(*) FILTER (fetched = 0) AS z FROM h WHERE date_key >= '2024-01-25' GROUP BY 1) SELECT source_name, z AS zero_days FROM q WHERE z >= 5")
 def _(s, d):
     sources = articles(s, d).select("source_name").distinct()

@@ -205,7 +205,20 @@ def _(s, d):
     return read(s, d, "orders").select("o_orderkey", times.chinese_date(day).alias("at"))
 
 
-@catalog.add("F35_html_to_text")
+def _text_sql(x: str) -> str:
+    """What ``parse.html_to_text`` does, in DuckDB."""
+    for tag in ("script", "style", "noscript", "iframe", "svg", "nav", "header", "footer", "form", "aside"):
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?i)</(p|div|li|h[1-6]|tr|section|article|ul|ol|table)>|<br\\s*/?>', chr(10), 'g')"
+    x = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{sign}')"
+    lines = f"list_filter(list_transform(string_split({x}, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t\\r]+', ' ', 'g'))), lambda l: length(l) >= 8)"
+    return f"substr(array_to_string({lines}, chr(10)), 1, 8000)"
+
+
+@catalog.add("F35_html_to_text", f"SELECT page_id, length(t) AS chars, sha256(t) AS sha FROM (SELECT page_id, {_text_sql('html')} AS t FROM pages)")
 def _(s, d):
     return read(s, d, "pages").select("page_id", F.length(parse.html_to_text(F.col("html"))).alias("chars"), F.sha2(parse.html_to_text(F.col("html")), 256).alias("sha"))
 
@@ -270,31 +283,6 @@ def _(s, d):
     return articles(s, d).select("id", text.any_of([F.trim("takeaway") == "", F.col("summary").contains("�"), F.length("title") < 12, F.col("category") == "noise"]).alias("half"))
 
 
-@catalog.add("P18_service_failure", "SELECT doc_id, doc_id % 4 = 0 AS failed FROM documents")
-def _(s, d):
-    reason = F.when(F.col("doc_id") % 4 == 0, "HTTP 503 upstream").when(F.col("doc_id") % 4 == 1, "TIMEOUT in caps").otherwise("missing_body:short")
-    return _docs(s, d).select("doc_id", text.service_failure(reason).alias("failed"))
-
-
-@catalog.add("P19_reason_class", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'quality' ELSE 'fetch' END AS class FROM documents")
-def _(s, d):
-    reason = F.when(F.col("doc_id") % 3 == 0, "Ungrounded_Summary:x").otherwise("missing_body")
-    return _docs(s, d).select("doc_id", text.reason_class(reason).alias("class"))
-
-
-@catalog.add("P20_incidents", "SELECT doc_id, doc_id % 3 = 0 AND doc_id % 2 = 0 AS incident FROM documents")
-def _(s, d):
-    title = F.when(F.col("doc_id") % 3 == 0, "微软Azure宕机 all day").otherwise("quiet day")
-    title = F.when(F.col("doc_id") % 2 == 0, title).otherwise("metadata of a recall")
-    return _docs(s, d).select("doc_id", text.is_incident(title, F.lit(""), F.lit("x")).alias("incident"))
-
-
-@catalog.add("P21_roundups", "SELECT doc_id, length(trim(text)) >= 200 AND doc_id % 2 = 0 AS roundup FROM documents")
-def _(s, d):
-    title = F.when(F.col("doc_id") % 2 == 0, "First event of the day; second event").otherwise("One event only in this headline")
-    return _docs(s, d).select("doc_id", text.is_roundup(title, F.regexp_replace("text", "^ +| +$", ""), F.lit(False)).alias("roundup"))
-
-
 @catalog.add("P22_shells", "SELECT doc_id, " + shell_sql("coalesce(text, '')") + " AS shell FROM documents")
 def _(s, d):
     return _docs(s, d).select("doc_id", text.is_shell(F.col("text")).alias("shell"))
@@ -308,11 +296,6 @@ def _(s, d):
     return r.select("date_key", F.when((q >= 5) | ((n == 0) & (q >= 3)) | ((q + n >= 10) & (q * 10 > (q + n) * 3)), "batch").otherwise("routine").alias("tier"))
 
 
-@catalog.add("P26_clickbait", "SELECT doc_id, doc_id % 5 = 0 AS bait FROM documents")
-def _(s, d):
-    return _docs(s, d).select("doc_id", F.when(F.col("doc_id") % 5 == 0, "突发：市场重磅消息").otherwise("calm").rlike(values.CLICKBAIT).alias("bait"))
-
-
 @catalog.add("P27_blocked_ips", """WITH i AS (SELECT event_id, event_id % 256 AS a, event_id * 7 % 256 AS b FROM events)
     SELECT event_id, a IN (0, 10, 127, 224, 240, 255) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b IN (168, 0)) OR (a = 198 AND b IN (18, 19)) AS blocked FROM i""")
 def _(s, d):
@@ -332,7 +315,7 @@ def _(s, d):
     return last.where(times.hours_between(F.lit("2024-01-31 00:00:00").cast("timestamp"), F.col("at")) >= 6).select("source_name")
 
 
-@catalog.add("S01_feeds")
+@catalog.add("S01_feeds", A + "SELECT source_name, '2024-01-15T02:00:00.000Z' AS published_at, count(*) AS n FROM a GROUP BY 1")
 def _(s, d):
     item = F.concat(F.lit("<item><title>"), "source_name", F.lit(" news</title><link>"), "source_url", F.lit("</link><pubDate>Mon, 15 Jan 2024 10:00:00 +0800</pubDate></item>"))
     rows = articles(s, d).withColumn("source_url", F.regexp_replace("source_url", r"\?.*", ""))
@@ -342,7 +325,7 @@ def _(s, d):
     return parse.parse_pages(fetched).groupBy("source_name", "published_at").agg(F.count("*").alias("n"))
 
 
-@catalog.add("F14_charsets")
+@catalog.add("F14_charsets", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN 'utf-8' END AS encoding, CASE WHEN text IS NOT NULL THEN true END AS same FROM documents")
 def _(s, d):
     rows = _docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.when(F.col("doc_id") % 2 == 0, "utf8").alias("declared"), "text")
     out = parse.decode_column(rows.select("doc_id", "raw", "declared", F.col("text").alias("was")), "raw", "declared")

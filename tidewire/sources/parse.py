@@ -145,7 +145,9 @@ def parse_feed(text: str) -> list[dict]:
 
 
 def feed_rows(body: str, source: dict) -> list[dict]:
-    """Candidates of a feed."""
+    """Candidates of a feed; one that was decoded wrongly (over 5 % replacement characters) is an error."""
+    if body.count("\ufffd") > 0.05 * len(body):
+        raise ValueError("feed decoding: too many U+FFFD")
     return [_row(i["title"], i["url"], iso(loose_date(i["date"])), i["snippet"][:2000], source) for i in parse_feed(body)]
 
 
@@ -222,23 +224,6 @@ def segments(items: list[dict], kind: str = "Article") -> list[list[dict]]:
     return out
 
 
-def health_error(matched: int | None, status: int | None, error: str | None, rows: int, fresh: int, thrown: str | None) -> str | None:
-    """What a health row says about a scrape; None if all is well."""
-    if thrown:
-        return f"SCRAPER_THROW {thrown[:180]}"
-    if error:
-        return f"SCRAPER_ERROR {error}"
-    if matched == 0:
-        return f"PARSED_ZERO http={'n/a' if status is None else status}（页面结构或选择器疑似变更）"
-    if status is not None and not 200 <= status < 300:
-        return f"HTTP {status}"
-    if matched is None and rows == 0:
-        return "ZERO_NO_META（爬虫未上报 http/matched）"
-    if fresh == 0 and (matched or 0) > 0:
-        return f"FILTERED_ALL matched={matched}（出时效窗或全被去重）"
-    return None
-
-
 def cdata_list(body: str, source: dict) -> list[dict]:
     """List items inside the CDATA sections of XML records; white space within dates is squashed first."""
     found = "".join(re.findall(r"(?s)<!\[CDATA\[(.*?)\]\]>", body))

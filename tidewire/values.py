@@ -41,6 +41,17 @@ SERVICE_FAILURES = ["Arrearage", "Access denied", "InvalidApiKey", "Throttling",
 QUALITY_REASON = r"(?i)ungrounded_summary|摘要.*对不上|正文仅.*空壳"
 REFUSING_HOSTS = ["politico.com", "thehill.com", "aiera.com"]
 
+# What a probe of a model service says when its account is unusable.
+FATAL_STATUS = [401, 402, 403]
+FATAL_ANSWER = r"(?i)Arrearage|overdue|欠费|InvalidApiKey|AccessDenied|Access denied|Incorrect API key|Unauthorized"
+
+# Notes behind the marks of a source's health.
+HEALTH_NOTES = {
+    "PARSED_ZERO": "（页面结构或选择器疑似变更）",
+    "ZERO_NO_META": "（爬虫未上报 http/matched）",
+    "FILTERED_ALL": "（出时效窗或全被去重）",
+}
+
 # What a page without an article says.
 SHELL_STRONG = [
     "正在取这篇稿子", "页面走丢了", "页面不存在", "页面未找到", "打开微信阅读", "请在微信客户端打开", "点击屏幕右上方",
