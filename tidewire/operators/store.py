@@ -68,11 +68,15 @@ def retained(rows: DataFrame, today: str, featured_days: int = 30, days: int = 7
     return rows.where(age <= F.when(F.col("is_featured") == 1, featured_days).otherwise(days)).select(F.substring(F.sha1("source_url"), 1, 16).alias("key")).distinct()
 
 
-def backup_keepers(backups: DataFrame, newest: int = 14) -> DataFrame:
-    """The newest backups and the first of each month; ``backups`` has day (one row per backup)."""
-    late = backups.orderBy(F.col("day").desc()).limit(newest).select("day")
-    monthly = backups.groupBy(F.date_trunc("month", "day")).agg(F.min("day").alias("day")).select("day")
-    return late.union(monthly).distinct()
+def backup_keepers(backups: DataFrame, newest: int = 14, series: list[str] | None = None) -> DataFrame:
+    """The newest backups and the first of each month, of each series; ``backups`` has day (one row per backup)."""
+    keys = series or []
+    late = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("day").desc()))
+    first = F.row_number().over(Window.partitionBy(*keys, F.date_trunc("month", "day")).orderBy("day"))
+    if not keys:  # no window over all rows
+        late_days = backups.orderBy(F.col("day").desc()).limit(newest).select("day")
+        return late_days.union(backups.groupBy(F.date_trunc("month", "day")).agg(F.min("day").alias("day")).select("day")).distinct()
+    return backups.withColumns({"late": late, "first": first}).where((F.col("late") <= newest) | (F.col("first") == 1)).select(*keys, "day")
 
 
 def publish(df: DataFrame, root: str, partition: str | None = None) -> str:

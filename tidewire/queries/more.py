@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewire import values
 from tidewire.functions import scores, text, times, urls
 from tidewire.operators import dedup, store
 from tidewire.plans.adapters import ARTICLES, HEALTH, articles, health, read
@@ -49,10 +50,30 @@ def _(s, d):
     return _dated(s, d).select("o_orderkey", F.date_format(times.loose_timestamp(rfc), "yyyy-MM-dd HH:mm").alias("at"))
 
 
-@catalog.add("F19_subjects", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'OpenAI,Microsoft' WHEN 1 THEN 'Meta' WHEN 2 THEN '阿里' ELSE '' END AS subjects FROM documents")
+def _subjects_sql(x: str) -> str:
+    found = ", ".join(f"CASE WHEN regexp_matches({x}, '(?i){'|'.join(patterns)}') THEN '{name}' END" for name, patterns in values.SUBJECTS.items())
+    return f"list_filter([{found}], lambda v: v IS NOT NULL)"
+
+
+#: Two headlines of each document: its first line, with some names and numbers behind it.
+_PAIR = "SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] || CASE doc_id % 5 WHEN 0 THEN ' OpenAI v2' WHEN 1 THEN ' 新闻Meta开源' WHEN 2 THEN ' 通义更新 3' ELSE '' END AS a, string_split(coalesce(text, ''), chr(10))[1] || CASE doc_id % 7 WHEN 0 THEN ' Claude v2' WHEN 1 THEN ' metadata of applesauce 4' WHEN 2 THEN ' ChatGPT' ELSE '' END AS b FROM documents"
+
+
+def _pair(s, d):
+    i, line = F.col("doc_id"), F.split(F.coalesce("text", F.lit("")), "\n")[0]
+    more = lambda n, words: F.when(i % n == 0, words[0]).when(i % n == 1, words[1]).when(i % n == 2, words[2]).otherwise("")
+    return read(s, d, "documents").select("doc_id", F.concat(line, more(5, (" OpenAI v2", " 新闻Meta开源", " 通义更新 3"))).alias("a"), F.concat(line, more(7, (" Claude v2", " metadata of applesauce 4", " ChatGPT"))).alias("b"))
+
+
+@catalog.add("F19_subjects", f"SELECT doc_id, array_to_string({_subjects_sql('a')}, ',') AS subjects FROM ({_PAIR})")
+def _(s, d):
+    return _pair(s, d).select("doc_id", F.array_join(text.subjects(F.col("a")), ",").alias("subjects"))
+
+
+@catalog.add("D06_pair_veto", f"""SELECT doc_id, NOT (len(x) > 0 AND len(y) > 0 AND NOT list_has_any(x, y)) AND NOT (len(m) > 0 AND len(n) > 0 AND m <> n) AS stands FROM (SELECT doc_id, {_subjects_sql('a')} AS x, {_subjects_sql('b')} AS y,
+    list_sort(list_distinct(regexp_extract_all(a, '[0-9]+'))) AS m, list_sort(list_distinct(regexp_extract_all(b, '[0-9]+'))) AS n FROM ({_PAIR}))""")
 def _(s, d):
-    title = F.when(F.col("doc_id") % 4 == 0, "Microsoft backs ChatGPT").when(F.col("doc_id") % 4 == 1, "新闻Meta开源").when(F.col("doc_id") % 4 == 2, "通义更新").otherwise("metadata of applesauce")
-    return read(s, d, "documents").select("doc_id", F.array_join(text.subjects(title), ",").alias("subjects"))
+    return _pair(s, d).select("doc_id", text.same_story(F.col("a"), F.col("b")).alias("stands"))
 
 
 @catalog.add("D06_pair_veto", "SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 4 <> 1 AS stands FROM documents")
@@ -63,17 +84,20 @@ def _(s, d):
     return read(s, d, "documents").select("doc_id", text.same_story(a, b).alias("stands"))
 
 
-@catalog.add("A06_overlap_weight", A + """, b AS (SELECT id, companies, keywords FROM a WHERE date_key = '2024-01-15' AND category <> 'noise'),
-    t AS (SELECT unnest(list_distinct(list_concat(companies, keywords))) AS tag FROM b), f AS (SELECT tag, ln(((SELECT count(*) FROM b) + 1.0) / (count(*) + 1)) + 0.3 AS idf FROM t GROUP BY 1),
-    s AS (SELECT id, unnest(list_distinct(companies)) AS tag, 1 AS w FROM b UNION ALL SELECT id, unnest(list_distinct(keywords)), 2 FROM b)
-    SELECT x.id AS id, y.id AS other, round(sum(x.w * idf), 5) AS weight FROM s x JOIN s y ON x.tag = y.tag AND x.id < y.id JOIN f ON f.tag = x.tag GROUP BY 1, 2""")
+@catalog.add("A06_overlap_weight", A + """, b AS (SELECT id, date_key, ai_score, list_distinct(companies) AS s, list_distinct(keywords) AS t FROM a WHERE category <> 'noise'),
+    n AS (SELECT date_key, count(*) AS n FROM b GROUP BY 1), u AS (SELECT date_key, unnest(list_distinct(list_concat(s, t))) AS tag FROM b),
+    f AS (SELECT date_key, tag, ln((n + 1.0) / (count(*) + 1)) + 0.3 AS idf FROM u JOIN n USING (date_key) GROUP BY date_key, tag, n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY ai_score DESC, id) AS rn FROM b),
+    h AS (SELECT x.id, x.date_key, unnest(list_concat(list_transform(list_intersect(x.s, y.s), lambda v: {'tag': v, 'w': 1}), list_transform(list_intersect(x.t, y.t), lambda v: {'tag': v, 'w': 2}))) AS e FROM b x JOIN k y ON y.date_key = x.date_key AND y.rn = 1 WHERE x.id <> y.id)
+    SELECT id, round(sum(e.w * idf), 5) AS weight FROM h JOIN f ON f.date_key = h.date_key AND f.tag = h.e.tag GROUP BY 1""")
 def _(s, d):
-    b = articles(s, d).where("date_key = '2024-01-15' and category <> 'noise'")
-    tags = b.select("id", F.explode(F.array_distinct("companies")).alias("tag"), F.lit(1).alias("w")).union(b.select("id", F.explode(F.array_distinct("keywords")), F.lit(2)))
-    total = b.agg(F.count("*").alias("n"))
-    idf = tags.groupBy("tag").agg(F.countDistinct("id").alias("df")).join(F.broadcast(total)).select("tag", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 0.3).alias("idf"))  # one row
-    x, y = tags.join(idf, "tag").alias("x"), tags.alias("y")
-    return x.join(y, (F.col("x.tag") == F.col("y.tag")) & (F.col("x.id") < F.col("y.id"))).groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("other")).agg(F.round(F.sum(F.col("x.w") * F.col("x.idf")), 5).alias("weight"))
+    b = articles(s, d).where("category <> 'noise'").select("id", "date_key", "ai_score", F.array_distinct("companies").alias("s"), F.array_distinct("keywords").alias("t"))
+    days = b.groupBy("date_key").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "s", "t"), F.struct("ai_score", -F.col("id"))).alias("best"))  # a row a day
+    used = b.select("date_key", F.explode(F.array_union("s", "t")).alias("tag")).groupBy("date_key", "tag").agg(F.count("*").alias("df"))
+    idf = used.join(days.select("date_key", "n"), "date_key").select("date_key", "tag", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 0.3).alias("idf"))
+    weigh = lambda own, w: F.transform(F.array_intersect(own, f"best.{own}"), lambda v: F.struct(v.alias("tag"), F.lit(w).alias("w")))
+    hits = b.join(days.drop("n"), "date_key").where(F.col("id") != F.col("best.id")).select("id", "date_key", F.explode(F.concat(weigh("s", 1), weigh("t", 2))).alias("e")).select("id", "date_key", "e.*")
+    return hits.join(idf, ["date_key", "tag"]).groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("idf")), 5).alias("weight"))
 
 
 @catalog.add("A17_archive_stats", "SELECT count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages")
@@ -212,10 +236,12 @@ def _(s, d):
     return hits.select("user_id", F.aggregate("at", state, step)["n"].alias("fired"))
 
 
-@catalog.add("W10_newest_per_key", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2")
+@catalog.add("W10_keepers", """WITH b AS (SELECT DISTINCT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS day FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS late, row_number() OVER (PARTITION BY series, date_trunc('month', day) ORDER BY day) AS first FROM b)
+    SELECT series, CAST(day AS VARCHAR) AS day FROM r WHERE late <= 14 OR first = 1""")
 def _(s, d):
-    order = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), "o_orderkey")
-    return read(s, d, "orders").withColumn("rn", F.row_number().over(order)).where("rn <= 2").select("o_custkey", "o_orderkey")
+    backups = read(s, d, "orders").select(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("day")).distinct()
+    return store.backup_keepers(backups, series=["series"]).select("series", F.col("day").cast("string").alias("day"))
 
 
 @catalog.add("J06_sources_with_health", H + ", q AS (SELECT source_name, CAST(sum(fetched) AS BIGINT) AS fetched FROM h GROUP BY 1), s2 AS (SELECT source_name FROM s UNION ALL SELECT 'u-none') SELECT source_name, coalesce(fetched, 0) AS fetched FROM s2 LEFT JOIN q USING (source_name)")

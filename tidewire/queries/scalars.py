@@ -139,11 +139,15 @@ def _(s, d):
     return _docs(s, d).select("doc_id", F.array_join(text.key_points(F.split("text", "\n")), "|").alias("points"))
 
 
-@catalog.add("F28_verify_quote", "SELECT doc_id, CASE WHEN length(trim(substr(text, 5, 40))) BETWEEN 8 AND 120 AND doc_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS ok FROM documents WHERE NOT regexp_matches(substr(text, 1, 60), '[\"“”「」『』\\x{00a0}]')")
+_SPACES = r"[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+@catalog.add("F28_verify_quote", f"""SELECT doc_id, (length(q) BETWEEN 8 AND 120 AND contains(regexp_replace(t, '{_SPACES}', '', 'g'), regexp_replace(q, '{_SPACES}', '', 'g')))::BIGINT AS ok
+    FROM (SELECT doc_id, t, regexp_replace(trim('“' || substr(t, 5, 5 + doc_id % 130) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'zzzzqqqq' END || '” '), '^["“”「『]+|["“”」』]+$', '', 'g') AS q FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
 def _(s, d):
-    rows = _docs(s, d).where(~F.substring("text", 1, 60).rlike('["“”「」『』\\x{00a0}]'))
-    quote = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 5, 40)).otherwise(F.concat(F.substring("text", 5, 40), F.lit("zzzzqqqq")))
-    return rows.select("doc_id", (text.verify_quote(quote, F.col("text")) != "").cast("long").alias("ok"))
+    body = F.coalesce("text", F.lit(""))
+    quote = F.concat(F.lit("“"), F.substring(body, F.lit(5), (F.col("doc_id") % 130 + 5).cast("int")), F.when(F.col("doc_id") % 2 == 0, "").otherwise("zzzzqqqq"), F.lit("” "))
+    return _docs(s, d).select("doc_id", (text.verify_quote(quote, body) != "").cast("long").alias("ok"))
 
 
 @catalog.add("F30_grounding")
@@ -223,10 +227,13 @@ def _(s, d):
     return read(s, d, "pages").select("page_id", F.length(parse.html_to_text(F.col("html"))).alias("chars"), F.sha2(parse.html_to_text(F.col("html")), 256).alias("sha"))
 
 
-@catalog.add("F36_image_refs", "SELECT page_id, 1::BIGINT AS images FROM pages")
+_IMAGES = r"""(?i)<img[^>]*?\b(?:data-src|data-original|src)=["'](https?://[^"']+)["']"""
+_PAGE = """html || '<img src="' || url || '"><img class=x src="' || url || '/a.PNG"><img data-src="' || url || CASE WHEN page_id % 2 = 0 THEN '/a.PNG' ELSE '/b.webp?w=1' END || '"><img src="/c.jpg"><img data-original="https://x.example/' || page_id % 3 || '.jpeg"><img src="https://x.example/i.svg">'"""
+
+
+@catalog.add("F36_image_refs", f"SELECT page_id, len(list_distinct(list_filter(regexp_extract_all(p, '{_IMAGES.replace(chr(39), chr(39) * 2)}', 1), lambda u: regexp_matches(u, '(?i)\\.(png|jpe?g|webp|gif)(\\?|$)')))) AS images FROM (SELECT page_id, {_PAGE} AS p FROM pages)")
 def _(s, d):
-    page = F.concat("html", F.lit('<img src="https://x.example/a.png"><img data-src="https://x.example/a.png"><img src="icon.svg">'))
-    refs = F.regexp_extract_all(page, F.lit(r"""(?i)<img[^>]*?\b(?:data-src|data-original|src)=["'](https?://[^"']+)["']"""), F.lit(1))
+    refs = F.regexp_extract_all(F.expr(_PAGE.replace("page_id % 3", "(page_id % 3)")), F.lit(_IMAGES), F.lit(1))
     return read(s, d, "pages").select("page_id", F.size(F.array_distinct(F.filter(refs, lambda u: u.rlike(r"(?i)\.(png|jpe?g|webp|gif)(\?|$)")))).cast("long").alias("images"))
 
 
@@ -247,10 +254,12 @@ def _(s, d):
     return read(s, d, "events").select(F.concat_ws(" ", F.date_format("ts", "MM-dd"), F.element_at(names, F.dayofweek("ts"))).alias("label")).distinct()
 
 
-@catalog.add("F42_intro", "SELECT doc_id, CASE WHEN length(t) < 40 THEN '' WHEN length(t) <= 180 THEN t ELSE substr(t, 1, 180) END AS intro FROM (SELECT doc_id, trim(replace(replace(replace(substr(text, 1, 300), '\"', ''), '。', ''), '！', '')) AS t FROM documents)")
+@catalog.add("F42_intro", """SELECT doc_id, CASE WHEN length(t) < 40 THEN '' WHEN length(t) <= 180 THEN t WHEN regexp_extract(t, '(?s)^(.{39,179}[。！？])', 1) <> '' THEN regexp_extract(t, '(?s)^(.{39,179}[。！？])', 1) ELSE substr(t, 1, 180) END AS intro
+    FROM (SELECT doc_id, regexp_replace(trim('“' || CASE WHEN doc_id % 2 = 0 THEN replace(coalesce(text, ''), '.', '。') ELSE coalesce(text, '') END || '”'), '^["“”「]+|["“”」]+$', '', 'g') AS t FROM documents)""")
 def _(s, d):
-    t = F.trim(F.translate(F.substring("text", 1, 300), '"。！', ""))
-    return _docs(s, d).select("doc_id", F.coalesce(text.intro(t), F.lit("")).alias("intro"))
+    body = F.coalesce("text", F.lit(""))
+    said = F.concat(F.lit("“"), F.when(F.col("doc_id") % 2 == 0, F.replace(body, F.lit("."), F.lit("。"))).otherwise(body), F.lit("”"))
+    return _docs(s, d).select("doc_id", F.coalesce(text.intro(said), F.lit("")).alias("intro"))
 
 
 @catalog.add("F43_first_sentence", "SELECT doc_id, substr(string_split_regex(text, '[。！.!]')[1], 1, 60) AS first FROM documents")
