@@ -106,9 +106,11 @@ def test_big_buckets_are_cut(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in embedding.embedding_dedup(df).collect()} == {(89, 0)}
 
 
-def test_simhash_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [16_384, 6])
+def test_simhash_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "SHARD", 16)
     monkeypatch.setattr(simhash, "LEAF", 8)
+    monkeypatch.setattr(simhash, "HOT", hot)
     r = random.Random(5)
     texts = list(EDGE)
     for _ in range(120):
@@ -583,3 +585,42 @@ def test_passages_score_every_token(spark):
     for i, t in enumerate(texts):
         tokens = [weight.get(w, -toxicity.GAP) for w in (t or "").lower().split()]
         assert n[i] == len(tokens) and sorted(found[i]) == pytest.approx(sorted(brute(tokens)))
+
+
+def test_copies_of_a_fingerprint_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 64)
+    g = np.random.default_rng(71)
+    copies = []
+    for n in (2_000, 20_000):
+        fp = np.unique(g.integers(0, 1 << 63, n, dtype=np.uint64))
+        want = int(np.ceil(np.log2(n / 64)))
+        levels = simhash.plan_tree(fp[:2_000], min(want, simhash.DEPTH))
+        copies.append(4 * len(simhash.assign(fp, levels, 3)[0]) / len(fp))
+    assert max(copies) < 12 and copies[1] < 1.1 * copies[0]
+
+
+def test_embedding_edges(spark):
+    nan = float("nan")
+    rows = [(None, [1.0, 0.0]), (None, None), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, []), (6, [1.0, None]), (7, [1.0]), (8, [1e300, 1e300]), (9, [1e-300, 1e-300])]
+    df = spark.createDataFrame([(i, v, 0, 0, 0) for i, v in rows], "vec_id long, embedding array<double>, class int, weight int, tab int")
+    out = embedding.embedding_dedup(df).collect()
+    assert len(out) == len(rows)
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in out if x.vec_id is not None}
+    assert got[2] == (3, 1, False) and got[8] == (1, 8, True) and got[9] == (1, 8, False)
+    assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7))
+    assert embedding.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_toxicity_repeated_rows_and_odd_columns(spark):
+    r = random.Random(72)
+    texts = [f"{prose(r, 30, 300)} {'vile grubby muck vile' if i % 8 == 0 else ''}" for i in range(400)]
+    kind = "doc_id long, text string, score double, toxic int, fold int"
+    docs = spark.createDataFrame([(i, t, 0.5, 7, 7) for i, t in enumerate(texts)] + [(None, texts[8], 0.5, 7, 7), (8, texts[8], 0.5, 7, 7), (500, None, None, None, None), (501, "", None, None, None), (502, "vile " * 100_000, None, None, None)], kind)
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(400)] + [(None, 1), (3, None), (8, 1)], "doc_id long, toxic int")
+    out = toxicity.predict(docs, labels).collect()
+    assert len(out) == docs.count()
+    by = {x.doc_id: x for x in out}
+    assert all(by[i].predicted == int(i % 8 == 0) for i in range(400)) and by[502].predicted == 1
+    assert by[500].score == by[501].score < 0.5 and by[None].held_out is False
+    assert len({x.score for x in out if x.doc_id in (None, 8)}) == 1
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in out if x.doc_id is not None)

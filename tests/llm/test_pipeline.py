@@ -99,3 +99,77 @@ def test_stages_keep_columns_of_any_name(spark):
             out = stage(spark, docs, "")
             assert out.columns == docs.columns, name
             assert {tuple(r[5:]) for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
+
+
+def test_toxicity_stage_against_a_score_by_hand(spark):
+    import math
+    import random
+    import unittest.mock
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewire.llm import toxicity
+
+    r = random.Random(73)
+    texts = [f"{base.prose(r, 30, 300)} {'vile grubby muck vile' if i % 8 == 0 else ''}" for i in range(300)] + [None, "", "grubby vile one", "muck"]
+    docs = base.frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+
+    def score(text):
+        forms = toxicity.token_forms(pa.array([text or ""]))[0]
+        tokens = []
+        for f in forms.tolist():  # the whole word, then its longest beginning with evidence
+            known = [weights[x] for x in (f[0], *reversed(f[1:])) if x and x in weights]
+            tokens.append(known[0] if known else -toxicity.GAP)
+        segments, left = [], [tokens]
+        while left:
+            part = left.pop()
+            best, at = 1e-12, None
+            for i in range(len(part)):
+                for j in range(i + 1, len(part) + 1):
+                    if sum(part[i:j]) > best:
+                        best, at = sum(part[i:j]), (i, j)
+            if at:
+                segments.append(best)
+                left += [part[: at[0]], part[at[1] :]]
+        level = math.log(max(model.size * max(len(tokens), 1), 1e-12))
+        best = max(min(model.scale * max(segments, default=0.0) - level, 50), -10)
+        strong = sum(x for x in (model.scale * y - level for y in segments) if x > -math.log(toxicity.E_VALUE))
+        z = float(np.dot(model.fit, [1, best, math.log1p(strong)]))
+        return 1 / (1 + math.exp(-max(min(z, 35), -35)))
+
+    with unittest.mock.patch.object(corpus_pipeline, "table", lambda *_: labels):
+        kept = {x.doc_id for x in corpus_pipeline.drop_toxic(spark, docs, "").collect()}
+    assert kept == {i for i, t in enumerate(texts) if score(t) < 0.5}
+    assert not kept & {i for i in range(0, 300, 8)} and {300, 301} <= kept
+
+
+def test_line_and_packing_stages_against_brute_force(spark):
+    import random
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tidewire.llm import bpe
+
+    r = random.Random(74)
+    lines = [base.prose(r, 5, 9000) for _ in range(40)]
+    texts = [None, "", "x"] + ["\n".join(r.choice(lines) for _ in range(r.randrange(1, 12))) for _ in range(60)] + [base.prose(r, 3000, 9000)]
+    docs = base.frame(spark, texts)
+    gone = base._block_lines_gone(texts)
+    want = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in zip(texts, gone, strict=True)]
+    lined = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert [x.text for x in lined.orderBy("doc_id").collect()] == want
+    library = Tokenizer.from_file(bpe.public_vocabulary())
+    out = corpus_pipeline.pack(spark, docs, "").collect()
+    for i, t in enumerate(texts):
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        own = sorted((x for x in out if x.doc_id == i), key=lambda x: x.piece)
+        assert [(x.start, x.length, x.ids_crc32) for x in own] == [(a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for a in range(0, len(ids), 2048)]
+    for seq in {x.sequence_id for x in out}:
+        spans = sorted((x.offset, x.length) for x in out if x.sequence_id == seq)
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 2048
