@@ -61,7 +61,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = near.select(F.col("v").alias("u"), F.col("low").alias("v"))
         own = low.select("u", F.col("low").alias("v"))
         edges_now = moved.union(own).where("u <> v").distinct()
-        before, star = star, materialize(edges_now.mapInPandas(_contract, "u long, v long").distinct(), "edges")
+        # a node has one link at most after the steps, and no new ones appear
+        before, star = star, materialize(edges_now.mapInPandas(_contract, "u long, v long").distinct(), "edges", rows=2 * count)
         discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+#: Small rows that one task writes.
+ROWS_A_TASK = 250_000
 #: Folders that this process has written tables to, by application; they go when it ends.
 _WRITTEN: dict[str, SparkSession] = {}
 
@@ -33,9 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
+    ``rows``: where a bound of its small rows is known, it is written by as few tasks as that needs, so that a small
+    table is not dealt over as many files as the session has shuffle partitions.
+
     The written table cuts the lineage: when an executor is lost, later stages read files again instead of
     recomputing everything above. ``discard`` deletes it; what is left goes when the driver's process ends.
     """
@@ -43,6 +48,7 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     home = f"{shared_folder(spark)}/tidewire/{spark.sparkContext.applicationId}"
     _WRITTEN.setdefault(home, spark)
     path = f"{home}/{name}-{uuid.uuid4().hex}"
+    df = df if rows is None else df.coalesce(max(1, min(shuffle_width(spark), -(-rows // ROWS_A_TASK))))
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewire_path = path

@@ -213,7 +213,7 @@ def near_links(nodes: DataFrame, near: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
 
     placed = nodes.select("fp", "id").mapInArrow(place, "shard long, side byte, fp long, id long")
-    hot = materialize(placed.groupBy("shard").count().where(F.col("count") > HOT).select("shard", F.ceil(F.col("count") / (HOT // 2)).cast("int").alias("chunks")), "simhash-hot")
+    hot = materialize(placed.groupBy("shard").count().where(F.col("count") > HOT).select("shard", F.ceil(F.col("count") / (HOT // 2)).cast("int").alias("chunks")), "simhash-hot", rows=n)
     chunked = placed.join(hot, "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
     dealt = dealt.select("shard", "a", "b", "own", "side", "fp", "id").repartition(shuffle_width(spark), "shard", "a", "b").sortWithinPartitions("shard", "a", "b")

@@ -157,24 +157,25 @@ def _grouped(docs: DataFrame, least: float, width: int, id_col: str, text_col: s
     marks = materialize(_marks(texts, width), "similar-marks")
     nodes = marks.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("of"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "of.*", "n", "fp", "bands"), "similar-nodes")
+    n = nodes.count()
     # candidates: neighbours by fingerprint, and each text with the first one of its buckets
-    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("id")), "similar-prints")
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("id")), "similar-prints", rows=n)
     near = simhash.near_links(prints)
     same = nodes.select("fp", "node").join(prints, "fp").select(F.col("id").alias("u"), F.col("node").alias("v"))
     bands = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
-    heads = materialize(bands.groupBy("band", "bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").select("band", "bucket", "head"), "similar-heads")
-    shared = materialize(bands.join(heads, ["band", "bucket"]), "similar-bands")
+    heads = materialize(bands.groupBy("band", "bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").select("band", "bucket", "head"), "similar-heads", rows=BANDS * n // 2)
+    shared = materialize(bands.join(heads, ["band", "bucket"]), "similar-bands", rows=BANDS * n)
     stars = shared.select(F.col("head").alias("u"), F.col("node").alias("v"))
-    pairs = materialize(near.union(same).union(stars).where("u <> v").distinct(), "similar-pairs")
+    pairs = materialize(near.union(same).union(stars).where("u <> v").distinct(), "similar-pairs", rows=BANDS * n)
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = nodes.join(ends, "node", "left_semi").select("node", "k1", "k2")
     sets = materialize(_sets(texts.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("node", "text"), width), "similar-sets")
     links = _verified(pairs, sets, least)
     # buckets that still hold several components are compared whole
     parts = connected_components(links)
-    placed = materialize(shared.join(parts, "node", "left").select("band", "bucket", "node", "n", F.coalesce("component", "node").alias("component")), "similar-placed")
+    placed = materialize(shared.join(parts, "node", "left").select("band", "bucket", "node", "n", F.coalesce("component", "node").alias("component")), "similar-placed", rows=BANDS * n)
     mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum("n").alias("weight")).where("low <> high").select("band", "bucket", "size", "weight")
-    mixed = materialize(mixed, "similar-buckets")
+    mixed = materialize(mixed, "similar-buckets", rows=BANDS * n // 2)
     rest = _mixed_links(placed.join(mixed, ["band", "bucket"]).join(sets, "node"), least)
     groups = connected_components(links.union(rest))
     named = nodes.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component"))

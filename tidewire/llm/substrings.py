@@ -363,7 +363,7 @@ def _matched(contexts: DataFrame, length: int) -> DataFrame:
         rows = rows.select("anchor", "k1", "k2", "start", "context")
         return rows.repartition(wide, "anchor").sortWithinPartitions("anchor").mapInArrow(match, "k1 long, k2 int, start long, end long")
 
-    crowd = lambda rows, least, name: materialize(rows.groupBy("anchor").count().where(F.col("count") >= least).select("anchor", (F.col("count") > HOT).alias("hot")), name)
+    crowd = lambda rows, least, name: materialize(rows.groupBy("anchor").count().where(F.col("count") >= least).select("anchor", (F.col("count") > HOT).alias("hot")), name, rows=rows.count() // least)
     hot = crowd(contexts, HOT + 1, "hot-anchors").select("anchor")
     out = dealt(contexts.join(hot, "anchor", "left_anti"))
     if hot.isEmpty():

@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", _fold("id")).where("fold <> 0")
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    train = materialize(rows.join(F.broadcast(chosen), "id").select("fold", "toxic", "text"), "labelled")  # max_labelled rows bound it
+    train = materialize(rows.join(F.broadcast(chosen), "id").select("fold", "toxic", "text"), "labelled", rows=50 * max_labelled)  # max_labelled rows bound it; whole texts, so more tasks than for small rows
 
     def count(reader):
         for batch in kernels.batches(reader, "text", 1 << 20):
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[0], keys[first_of].view(np.int64)])), pa.array(np.concatenate([[size[0]], t])), pa.array(np.concatenate([[size[1]], n - t]))], ["key", "toxic", "clean"])
 
     texts = train.where("fold <> 4").dropDuplicates(["text", "toxic"]).select("text", "toxic")
-    counts = materialize(texts.mapInArrow(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "forms")
+    counts = materialize(texts.mapInArrow(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "forms", rows=50 * max_labelled)
     sizes = counts.where("key = 0").first()  # the tokens of both sides
     n_toxic, n_clean = (float(sizes[c]) + 1 if sizes else 1.0 for c in ("toxic", "clean"))
     # evidence for a side: few enough forms have some for max_labelled texts

@@ -72,7 +72,7 @@ def tree(records: DataFrame, depth: int) -> list[DataFrame]:
     for d in range(depth - 1, -1, -1):
         below = F.sort_array(F.collect_list(F.struct("node", "size", "digest")))
         level = levels[0].groupBy(F.substring("node", 1, d).alias("node")).agg(F.sum("size").alias("size"), F.sha2(F.to_json(below), 256).alias("digest"))
-        levels.insert(0, materialize(level, "nodes"))
+        levels.insert(0, materialize(level, "nodes", rows=16**d))
     return levels
 
 
@@ -84,7 +84,7 @@ def bad_leaves(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
         if bad is not None:
             up = bad.withColumnRenamed("node", "up")
             a, b = (x.withColumn("up", F.substring("node", 1, d - 1)).join(up, "up", "left_semi").drop("up") for x in (a, b))
-        found = materialize(a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "bad-nodes")
+        found = materialize(a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "bad-nodes", rows=2 * 16**d)
         if bad is not None:
             discard(bad)
         bad = found
