@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,6 +209,42 @@ def test_leaders_are_not_transitive(spark):
     assert {r.id: r.leader for r in dedup.leader_clusters(rows, 0.7).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"COMMON": 1, "HASHED": 1, "COPIES": 3, "CHUNK": 8, "SPREAD": 2}])
+def test_similar_titles_against_brute_force(spark, monkeypatch, sizes):
+    """Copies, ids that come twice, wide alphabets, and chunks and lists of a few rows."""
+    import random
+
+    for k, v in sizes.items():
+        monkeypatch.setattr(dedup, k, v)
+    r = random.Random(4)
+    letters = ["abcd ", "".join(chr(0x4E00 + i) for i in range(60)), "ab12 "]
+    seeds = ["".join(r.choice(x) for _ in range(r.randrange(10, 40))) for x in letters for _ in range(8)]
+    title = lambda: "".join(c if r.random() < 0.9 else r.choice("ab1") for c in r.choice(seeds))
+    rows = [(r.randrange(200), r.choice(["x", "x", "y", None]), r.choice([title(), *seeds[::8], None])) for _ in range(260)]
+    rows += [(None, "x", seeds[0]), *((300 + i, "x", "a" * 16) for i in range(20)), (400, "x", "a" * 17), (401, "x", "ab" * 8)]
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    kept = [(i, b, grams(t), set(re.findall("[0-9]+", t))) for i, b, t in rows if i is not None and b and t and len(t) >= 16]
+    want = []
+    for i, b, g, x in kept:
+        for j, c, h, y in kept:
+            d = 2 * len(g & h) / (len(g) + len(h))
+            if b == c and i < j and d >= 0.55 and not (x and y and x != y):
+                want.append((i, j, round(d, 6)))
+    df = spark.createDataFrame(rows, "id long, block string, title string")
+    assert sorted((x.a, x.b, round(x.dice, 6)) for x in dedup.similar_titles(df).collect()) == sorted(want)
+
+
+def test_similar_titles_shuffle_no_pairs(spark):
+    """What is shuffled grows with the titles, not with the pairs: 1,500 copies are a million pairs."""
+    store_ = spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    written = lambda: sum(s.shuffleWriteBytes() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store_.stageList(None, False, False, quantiles, None)))
+    rows = spark.range(1500).select("id", F.lit("x").alias("block"), F.lit("the same title of all rows").alias("title"))
+    before = written()
+    assert dedup.similar_titles(rows).count() == 1500 * 1499 // 2
+    assert written() - before < 1_000_000
+
+
 def test_plans_hold_at_scale(spark):
     """No cross product on big sides, no UDF, and pushed filters in the flagship query."""
     from tidewire import catalog

@@ -47,24 +47,68 @@ def title_hits(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     return first.groupBy("id").agg(F.count("*").alias("bump"))
 
 
+#: Words of bits for the commonest bigrams and for hashes of the others; ids in one list, lists in one chunk, at most
+#: about; copies of a small table, so that no key meets it in one task.
+COMMON, HASHED, COPIES, CHUNK, SPREAD = 5, 2, 128, 4096, 64
+
+
+def _spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by) -> DataFrame:
+    """Left join with a table of few keys; rows of a frequent key go to several tasks, by a hash of ``by``."""
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(SPREAD))).join(salted, [*keys, "__salt"], "left").drop("__salt")
+
+
+def _title_bits(titles: DataFrame) -> DataFrame:
+    """Per title its number of bigrams, words of bits (w0 is the first) and its rare bigrams.
+
+    The first words have a bit for each of the commonest bigrams, so their ANDs count what two titles share of these;
+    the last ones have bits by hashes of the rare ones.
+    """
+    held = titles.select("title", F.explode(text.bigrams(F.col("title"))).alias("gram"))
+    common = held.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(64 * COMMON)
+    common = common.agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), "gram"))).alias("grams")).select(F.posexplode("grams").alias("place", "g")).select("place", "g.gram")
+    placed = held.join(F.broadcast(common), "gram", "left")  # 64 * COMMON rows at most
+    hashed = F.lit(64 * COMMON) + F.pmod(F.xxhash64("gram"), F.lit(64 * HASHED)).cast("int")
+    bits = placed.select("title", F.coalesce("place", hashed).alias("bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, F.expr("shiftleft(1L, bit % 64)"))), F.lit(0).cast("long")).alias(f"w{w}") for w in range(COMMON + HASHED)]
+    rare = placed.where("place is null").groupBy("title").agg(F.collect_list("gram").alias("rare"))
+    out = bits.groupBy("title").agg(*words, F.count("*").cast("int").alias("size")).join(rare, "title", "left")
+    return out.withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
+
+
 def similar_titles(rows: DataFrame, least: float = 0.55, min_length: int = 16) -> DataFrame:
     """Pairs of titles of one block with a Dice similarity and no conflict of numbers.
 
-    ``rows`` has id, block and title. Pairs come from a join on the rarest bigrams of each title in its block, so that
-    no block is multiplied with itself; the join carries ids only, and each pair is then compared once.
+    ``rows`` has id, block and title. Equal titles of a block are one row with a list of ids, of several where there
+    are many. At 0.55 a prefix of rare bigrams is nearly two thirds of a title, and joining on it makes more candidates
+    than there are pairs; so the titles of a block are compared as words of bits. They are dealt into chunks, a task gets
+    two chunks, and each two titles meet once. Lists are expanded there: neither candidates nor pairs are shuffled.
     """
-    base = rows.where(F.length("title") >= min_length).select("id", "block", "title", text.bigrams(F.col("title")).alias("grams"))
-    held = base.select("id", "block", F.explode("grams").alias("gram"))
-    ranked = held.join(held.groupBy("block", "gram").agg(F.count("*").alias("n")), ["block", "gram"]).groupBy("id", "block").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
-    # two sets with Dice d share a gram among the first (1 - d / (2 - d)) * n + 1 of any common order
-    share = 1 - least / (2 - least)
-    keyed = ranked.select("id", "block", F.size("grams").alias("size"), F.explode(F.slice("grams", 1, (F.floor(F.size("grams") * share) + 1).cast("int"))).alias("g")).select("id", "block", "size", "g.gram")
-    sizes = (F.col("a.size") * least <= F.col("b.size") * (2 - least)) & (F.col("b.size") * least <= F.col("a.size") * (2 - least))
-    pairs = keyed.alias("a").join(keyed.alias("b"), ["block", "gram"]).where((F.col("a.id") < F.col("b.id")) & sizes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    side = lambda n: base.select(F.col("id").alias(n), F.col("title").alias(f"t{n}"), F.col("grams").alias(f"g{n}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    score = 2.0 * F.size(F.array_intersect("ga", "gb")) / (F.size("ga") + F.size("gb"))
-    return pairs.withColumn("dice", score).where((F.col("dice") >= least) & ~text.digits_conflict(F.col("ta"), F.col("tb"))).select("a", "b", F.round("dice", 6).alias("dice"))
+    base = rows.where((F.length("title") >= min_length) & F.col("id").isNotNull() & F.col("block").isNotNull()).select("id", "block", "title")
+    many = base.groupBy("block", "title").agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select("block", "title", F.ceil(F.col("n") / COPIES).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("id", F.lit(1)), "parts"), F.lit(0).cast("long"))
+    lists = _spread_join(base, many, ["block", "title"], ["id"]).groupBy("block", "title", part.alias("part")).agg(F.collect_list("id").alias("ids"))
+    large = lists.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("block", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    dealt = _spread_join(lists, large, ["block"], ["title", "part"]).withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    # need: half of what the sizes ask of the overlap, a little less for rounding; slack: rare bigrams that share a bit
+    n = COMMON + HASHED
+    slack = F.size("rare") - sum((F.bit_count(f"w{w}") for w in range(COMMON, n)), F.lit(0))
+    more = F.struct("title", "part", "rare", text.numbers(F.col("title")).alias("nums"), "size")  # read for likely pairs only
+    full = dealt.join(_title_bits(base.select("title").distinct()), "title").select("block", F.pmod(F.xxhash64("title", "part", F.lit(1)), "chunks").alias("chunk"), "chunks", "ids", *(f"w{w}" for w in range(n)), slack.alias("slack"), (F.col("size") * least / 2 - 1e-6).alias("need"), more.alias("more"))
+    keys, tasks = ["block", "i", "j"], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = full.select("*", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j")).repartition(tasks, *keys).alias("a")
+    b = full.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "chunk")).alias("i"), F.col("chunk").alias("j")).repartition(tasks, *keys).alias("b")
+    shared = lambda words: " + ".join(f"bit_count(a.w{w} & b.w{w})" for w in words)
+    likely = F.expr(f"{shared(range(n))} + least(a.slack, b.slack) >= a.need + b.need")
+    overlap = f"{shared(range(COMMON))} + if({shared(range(COMMON, n))} = 0, 0, size(array_intersect(a.more.rare, b.more.rare)))"
+    dice = F.expr(f"2.0D * ({overlap}) / (a.more.size + b.more.size)")
+    conflict = F.expr("size(a.more.nums) > 0 and size(b.more.nums) > 0 and a.more.nums <> b.more.nums")
+    once = F.expr("a.i < a.j or a.more.title < b.more.title or (a.more.title = b.more.title and a.more.part <= b.more.part)")
+    same = F.expr("a.more.title = b.more.title and a.more.part = b.more.part")
+    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).where(likely & once & (dice >= least) & ~conflict)
+    met = met.select(F.round(dice, 6).alias("dice"), same.alias("same"), F.col("a.ids").alias("xs"), F.col("b.ids").alias("ys"))
+    pairs = met.select("dice", "same", "ys", F.explode("xs").alias("x")).select("dice", "same", "x", F.explode("ys").alias("y"))
+    return pairs.where(F.expr("if(same, x < y, x <> y)")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dice")
 
 
 def leader_clusters(rows: DataFrame, least: float = 0.72) -> DataFrame:
